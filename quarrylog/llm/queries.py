@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import byte_bpe, line_dedup, quality, token_counts
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
