@@ -89,7 +89,9 @@ class Counter:
         return len(found) + sum(map(self.plain, self.added.split(text)))
 
 
-counter = cache(Counter)
+@cache
+def counter(path: str) -> Counter:
+    return Counter(path)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
