@@ -30,7 +30,7 @@ from .common import documents
 from .vocabulary import ranks
 
 #: Determinised states that are kept; beyond that all are forgotten and made anew.
-MAX_STATES = 400_000
+MAX_STATES = 100_000
 
 
 class Transducer:
@@ -85,7 +85,7 @@ class Transducer:
         known = self.stable.get(key)
         if known is not None:
             return known
-        if len(self.stable) > 4 * MAX_STATES:
+        if len(self.stable) > 2 * MAX_STATES:
             self.stable.clear()
         xs = self.right.get(a) or self.right.setdefault(a, self.edge(a, 1))
         ys = self.left.get(b) or self.left.setdefault(b, self.edge(b, 0))
@@ -110,8 +110,7 @@ class Transducer:
     def forget(self) -> None:
         self.numbers = {(start := ((0, -1, ()),)): 0}
         self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.ends: list[dict[int, tuple]] = [{}]
+        self.steps: dict[int, tuple[int, tuple]] = {}  # state * 256 + byte ->
 
     def step(self, state: int, byte: int) -> tuple[int, tuple]:
         """The next state and the tokens that are now certain, worked out once for each state and byte.
@@ -140,9 +139,7 @@ class Transducer:
         if number is None:
             number = self.numbers[made] = len(self.states)
             self.states.append(made)
-            self.steps.append({})
-            self.ends.append({})
-        self.steps[state][byte] = found = (number, first[:n])
+        self.steps[state << 8 | byte] = found = (number, first[:n])
         return found
 
     def end(self, state: int, byte: int) -> tuple:
@@ -150,8 +147,7 @@ class Transducer:
         for node, last, pending in self.states[state]:
             to = self.next[node].get(byte)
             if to is not None and self.token[to] >= 0 and self.follows(last, self.token[to]):
-                self.ends[state][byte] = found = (*pending, self.token[to])
-                return found
+                return (*pending, self.token[to])
         raise ValueError("the vocabulary can't spell this text")
 
     def encode(self, piece: bytes) -> list[int]:
@@ -163,12 +159,10 @@ class Transducer:
             self.forget()
         state, out, steps = 0, [], self.steps
         for byte in piece[:-1]:
-            state, certain = steps[state].get(byte) or self.step(state, byte)
+            state, certain = steps.get(state << 8 | byte) or self.step(state, byte)
             if certain:
                 out += certain
-        byte = piece[-1]
-        out += self.ends[state].get(byte) or self.end(state, byte)
-        return out
+        return [*out, *self.end(state, piece[-1])]
 
 
 @cache

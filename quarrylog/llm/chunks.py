@@ -20,7 +20,7 @@ import numpy as np
 from .vocabulary import pattern
 
 #: Chunks a worker remembers; beyond that it forgets all and starts again.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 500_000
 #: Longer chunks are worked out anew each time.
 MEMO_CHARS = 64
 
