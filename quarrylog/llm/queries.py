@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, quality, token_counts
+from . import byte_bpe, line_dedup, packing, quality, token_counts, token_file
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_token_file": token_file.op3_token_file,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
 }
