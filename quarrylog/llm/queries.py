@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, packing, quality, token_counts, token_file
+from . import byte_bpe, language_id, line_dedup, packing, pii, quality, token_counts, token_file
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_file": token_file.op3_token_file,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_pii": pii.op6_pii,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
 }
