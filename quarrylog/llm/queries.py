@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, line_dedup, packing, pii, quality, token_counts, token_file
+from . import byte_bpe, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, token_file
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_file": token_file.op3_token_file,
     "op4_token_counts": token_counts.op4_token_counts,
