@@ -25,19 +25,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .arrow import map_texts
-from .chunks import Encoded, Pieces, pieces_of
+from .chunks import MEMO_CHARS, Encoded, pieces_of
 from .common import documents
 from .vocabulary import ranks
 
 #: Determinised states that are kept; beyond that all are forgotten and made anew.
-MAX_STATES = 100_000
+MAX_STATES = 80_000
 
 
 class Transducer:
     def __init__(self, vocabulary: dict[bytes, int]):
         self.ranks = vocabulary
         self.tokens = {i: b for b, i in vocabulary.items()}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}  # a << 32 | b ->
         # the trie: node -> {byte: node}, node -> token; and the halves that a token's last merge joins
         self.next: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -81,7 +81,7 @@ class Transducer:
         """Whether no merge joins token a to token b: at no time is the pair at their border the next to merge."""
         if a < 0:
             return True
-        key = (a, b)
+        key = a << 32 | b
         known = self.stable.get(key)
         if known is not None:
             return known
@@ -172,8 +172,26 @@ def transducer(path: str) -> Transducer:
 
 @cache
 def encoder(path: str) -> Encoded:
-    piece = Pieces(transducer(path).encode)
-    return Encoded(lambda keys: [[i for x in pieces_of(key) for i in piece(x)] for key in keys])
+    work = transducer(path).encode
+    stops = {x: work(x.encode()) for x in ".,;:"}
+
+    def encode(keys: list) -> list[list[int]]:
+        out = []
+        for key in keys:
+            # a word before a stop is often known without it
+            if isinstance(key, str) and key[-1] in stops and key[:-1].isalpha():
+                stem = made.kept(key[:-1])
+                if stem is None:
+                    stem = work(b" " + key[:-1].encode())
+                    if len(key) <= MEMO_CHARS:
+                        made.keep(key[:-1], stem)
+                out.append(stem + stops[key[-1]])
+            else:
+                out.append([i for x in pieces_of(key) for i in work(x.encode())])
+        return out
+
+    made = Encoded(encode)
+    return made
 
 
 def encode(path: str, text: str) -> np.ndarray:

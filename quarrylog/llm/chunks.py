@@ -20,7 +20,7 @@ import numpy as np
 from .vocabulary import pattern
 
 #: Chunks a worker remembers; beyond that it forgets all and starts again.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 900_000
 #: Longer chunks are worked out anew each time.
 MEMO_CHARS = 64
 
@@ -83,15 +83,22 @@ class Encoded:
 
     def add(self, keys: list) -> None:
         for key, ids in zip(keys, self.encode(keys), strict=True):
-            end = int(self.ends[self.n])
-            while end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if self.n + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[end : end + len(ids)] = ids
-            self.n += 1
-            self.ends[self.n] = end + len(ids)
-            self.numbers[key] = self.n - 1
+            self.keep(key, ids)
+
+    def keep(self, key, ids) -> None:
+        end, n = int(self.ends[self.n]), len(ids)
+        while end + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        if self.n + 2 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[end : end + n] = ids
+        self.n += 1
+        self.ends[self.n] = end + n
+        self.numbers[key] = self.n - 1
+
+    def kept(self, key) -> list[int] | None:
+        at = self.numbers.get(key)
+        return None if at is None else self.flat[self.ends[at] : self.ends[at + 1]].tolist()
 
     def known(self, keys: list) -> np.ndarray:
         """Ids of keys that are all known."""

@@ -71,7 +71,7 @@ class Counter:
             return sum(map(known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > MEMO_CHUNKS:
+        if len(known) > MEMO_CHUNKS // 2:
             known.clear()
         total = 0
         for key in keys_of(text):
