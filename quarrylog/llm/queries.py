@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, token_file
+from . import byte_bpe, jaccard_join, language_id, line_dedup, neighbours, packing, pii, quality, token_counts, token_file
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_neighbours": neighbours.op9_neighbours,
 }
 
 SQL = {
