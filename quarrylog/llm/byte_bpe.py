@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .arrow import map_texts
-from .chunks import MEMO_CHARS, Encoded, pieces_of
+from .chunks import Encoded, Pieces, pieces_of
 from .common import documents
 from .vocabulary import ranks
 
@@ -172,26 +172,8 @@ def transducer(path: str) -> Transducer:
 
 @cache
 def encoder(path: str) -> Encoded:
-    work = transducer(path).encode
-    stops = {x: work(x.encode()) for x in ".,;:"}
-
-    def encode(keys: list) -> list[list[int]]:
-        out = []
-        for key in keys:
-            # a word before a stop is often known without it
-            if isinstance(key, str) and key[-1] in stops and key[:-1].isalpha():
-                stem = made.kept(key[:-1])
-                if stem is None:
-                    stem = work(b" " + key[:-1].encode())
-                    if len(key) <= MEMO_CHARS:
-                        made.keep(key[:-1], stem)
-                out.append(stem + stops[key[-1]])
-            else:
-                out.append([i for x in pieces_of(key) for i in work(x.encode())])
-        return out
-
-    made = Encoded(encode)
-    return made
+    piece = Pieces(transducer(path).encode)
+    return Encoded(lambda keys: [[i for x in pieces_of(key) for i in piece(x)] for key in keys])
 
 
 def encode(path: str, text: str) -> np.ndarray:
@@ -292,10 +274,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ``ids``: the document's ids as little-endian unsigned 32-bit integers."""
 
     def make():
-        def run(part):
-            return [part.column(0), [encode(path, b.decode()).astype("<u4").tobytes() if b else b"" for b in part.column(1).cast("binary").to_pylist()]]
-
-        return run
+        encode = encoder(path)
+        return lambda part: [part.column(0), [x.astype("<u4").tobytes() for x in encode.batch(part.column(1))]]
 
     return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary", make)
 
@@ -304,18 +284,28 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the ``text`` that they decode to."""
 
     def make():
+        return lambda part: [part.column(0), part.column(1), [decode(path, np.frombuffer(b or b"", "<u4")) for b in part.column(1).to_pylist()]]
+
+    return map_texts(rows.select("doc_id", "ids"), "doc_id long, ids binary, text string", make)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decoded`` of ``encoded`` in one worker, so that its tables are held once a task."""
+
+    def make():
+        encode = encoder(path)
+
         def run(part):
-            raw = part.column(1).to_pylist()
-            return [part.column(0), part.column(1), [decode(path, np.frombuffer(b or b"", "<u4")) for b in raw]]
+            ids = encode.batch(part.column(1))
+            return [part.column(0), [x.astype("<u4").tobytes() for x in ids], [decode(path, x) for x in ids]]
 
         return run
 
-    return map_texts(rows.select("doc_id", "ids"), "doc_id long, ids binary, text string", make)
+    return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary, text string", make)
 
 
 def op7_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = decoded(encoded(documents(spark, sf_dir), path), path)
+    rows = round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return rows.selectExpr("doc_id", "cast(length(ids) / 4 as long) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(cast(text as binary), 256) AS decoded_sha256")

@@ -6,8 +6,7 @@ The tokens of a text are then the tokens of its chunks, joined.  Words repeat,
 so what was worked out for a chunk is kept; whole texts never are.
 
 Keys: the word ``w`` stands for the chunk ``" " + w``, where ``w`` begins with no
-white space; ``(c,)`` stands for any other chunk ``c``.  So a text split at its
-spaces, whose words are all known, needs no further look.
+white space; ``(c,)`` stands for any other chunk ``c``.
 """
 
 from __future__ import annotations
@@ -16,11 +15,16 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 from .vocabulary import pattern
 
-#: Chunks a worker remembers; beyond that it forgets all and starts again.
-MEMO_CHUNKS = 900_000
+#: Words a worker remembers by a 64-bit hash, and ids it holds for them; beyond that it forgets all and starts again.
+MEMO_WORDS, MEMO_IDS = 2_000_000, 16_000_000
+#: Chunks that it remembers by themselves.
+MEMO_CHUNKS = 300_000
 #: Longer chunks are worked out anew each time.
 MEMO_CHARS = 64
 
@@ -62,70 +66,107 @@ class Pieces:
         if found is None:
             found = self.work(piece.encode())
             if len(piece) <= MEMO_CHARS:
-                if len(self.known) > MEMO_CHUNKS // 2:
+                if len(self.known) > MEMO_CHUNKS:
                     self.known.clear()
                 self.known[piece] = found
         return found
 
 
 class Encoded:
-    """Token ids of texts; ``encode`` gives the ids of each of a list of keys."""
+    """Ids of texts: ``encode`` gives the ids of each of a list of keys, once for each different word.
 
-    def __init__(self, encode: Callable[[list], list], keys: Callable[[str], list] = keys_of):
-        self.encode, self.keys = encode, keys
+    A batch of texts is split at its spaces and its different words numbered by
+    Arrow; words are looked up by hash in sorted arrays, which take a sixth of a
+    dictionary's memory; the ids of all words are gathered at once.
+    """
+
+    def __init__(self, encode: Callable[[list], list]):
+        self.encode = encode
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict = {}
+        self.hashes, self.entries = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.firsts: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def add(self, keys: list) -> None:
-        for key, ids in zip(keys, self.encode(keys), strict=True):
-            self.keep(key, ids)
-
-    def keep(self, key, ids) -> None:
-        end, n = int(self.ends[self.n]), len(ids)
-        while end + n > len(self.flat):
+    def add(self, keys: list) -> np.ndarray:
+        """Numbers of new entries for the keys."""
+        made = self.encode(keys)
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        end, more = int(self.ends[self.n]), int(sizes.sum())
+        while end + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if self.n + 2 > len(self.ends):
+        while self.n + len(made) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[end : end + n] = ids
-        self.n += 1
-        self.ends[self.n] = end + n
-        self.numbers[key] = self.n - 1
-
-    def kept(self, key) -> list[int] | None:
-        at = self.numbers.get(key)
-        return None if at is None else self.flat[self.ends[at] : self.ends[at + 1]].tolist()
-
-    def known(self, keys: list) -> np.ndarray:
-        """Ids of keys that are all known."""
-        at = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
-        first = self.ends[at]
-        sizes = self.ends[at + 1] - first
+        self.flat[end : end + more] = np.fromiter((i for ids in made for i in ids), np.uint32, more)
+        self.ends[self.n + 1 : self.n + 1 + len(made)] = end + np.cumsum(sizes)
+        self.n += len(made)
+        return np.arange(self.n - len(made), self.n)
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Entries of different words; -1 for those that don't stand for a chunk."""
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(words), bool)
+        if len(self.hashes):
+            at = np.minimum(at, len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+        out = np.full(len(words), -1)
+        out[known] = self.entries[at[known]]
+        new = [(k, w) for k in np.flatnonzero(~known).tolist() if (w := words[k].decode()) and not w[0].isspace()]
+        if new:
+            where = np.array([k for k, _ in new])
+            out[where] = self.add([w for _, w in new])
+            order = np.argsort(hashes[where])
+            at = np.searchsorted(self.hashes, hashes[where][order])
+            self.hashes = np.insert(self.hashes, at, hashes[where][order])
+            self.entries = np.insert(self.entries, at, out[where][order])
+        return out
+
+    def first(self, word: str) -> int:
+        if (known := self.firsts.get(word)) is None:
+            if len(self.firsts) > MEMO_CHUNKS // 4:
+                self.firsts.clear()
+            known = int(self.add([(word,)])[0])
+            if len(word) <= MEMO_CHARS:
+                self.firsts[word] = known
+        return known
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is empty."""
+        if self.n > MEMO_WORDS or self.ends[self.n] > MEMO_IDS:
+            self.forget()
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        numbered = split.flatten().dictionary_encode()
+        at, words = numbered.indices.to_numpy(), numbered.dictionary.cast(pa.binary()).to_pylist()
+        begin = bounds[:-1]
+        rest = np.ones(len(at), bool)
+        rest[begin] = False
+        used = np.zeros(len(words), bool)
+        used[at[rest]] = True
+        number = np.full(len(words), -1)
+        where = np.flatnonzero(used)
+        if len(where):
+            number[where] = self.words([words[k] for k in where.tolist()])
+        entry = number[at]
+        entry[begin] = [self.first(words[k].decode()) for k in at[begin].tolist()]
+        hard = np.flatnonzero(np.logical_or.reduceat(entry < 0, begin)) if len(begin) else []
+        entry = np.maximum(entry, 0)
+        start = self.ends[entry]
+        sizes = self.ends[entry + 1] - start
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(start - ends + sizes, sizes) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[bounds].tolist()
+        out = [ids[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        for k in hard:
+            made = self.encode(keys_of(texts[int(k)].as_py()))
+            out[k] = np.fromiter((i for ids in made for i in ids), np.uint32)
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        words: list = text.split(" ")
-        words[0] = (words[0],)
-        try:
-            return self.known(words)
-        except KeyError:
-            pass
-        if self.n > MEMO_CHUNKS:
-            self.forget()
-        keys, out, run = self.keys(text), [], []
-        size = lambda key: len(key if isinstance(key, str) else key[0])
-        self.add([x for x in dict.fromkeys(keys) if x not in self.numbers and size(x) <= MEMO_CHARS])
-        if all(map(self.numbers.__contains__, keys)):
-            return self.known(keys)
-        for key in keys:
-            if key in self.numbers:
-                run.append(key)
-            else:
-                out += [self.known(run), np.array(self.encode([key])[0], np.uint32)]
-                run = []
-        return np.concatenate([*out, self.known(run)])
+        return self.batch(pa.array([text]))[0]

@@ -10,43 +10,55 @@ from .chunks import MEMO_CHUNKS, Encoded, chunk_of
 from .vocabulary import tokenizer
 
 
+def library_ids(path: str, texts: list[str]) -> list[list[int]]:
+    return [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def without_stop(word: str) -> tuple[str, str]:
+    """A word of letters and the full stop, comma or colon after it, which no vocabulary here joins."""
+    return (word[:-1], word[-1]) if word[-1:] in tuple(".,;:") and word[:-1].isalpha() else (word, "")
+
+
+def by_stems(path: str, before: str, words: list[str], stems: dict[str, list[int]]) -> list[list[int]]:
+    """Ids of words, each after ``before``; ``stems`` keeps the library's for words without their stops."""
+    split = list(map(without_stop, words))
+    if len(stems) > MEMO_CHUNKS:
+        stems.clear()
+    wanted = dict.fromkeys(before + a for a, _ in split)
+    wanted.update(dict.fromkeys(z for _, z in split if z))
+    new = [x for x in wanted if x not in stems]
+    made = dict(zip(new, library_ids(path, new), strict=True))
+    found = {x: made[x] if x in made else stems[x] for x in wanted}
+    stems.update((k, v) for k, v in made.items() if len(k) <= 64)
+    return [found[before + a] + found[z] if z else found[before + a] for a, z in split]
+
+
 @cache
 def byte_level(path: str) -> Encoded:
     """For byte-level vocabularies, whose pieces keep the space before a word."""
-    library = tokenizer(path)
-    return Encoded(lambda keys: [x.ids for x in library.encode_batch(list(map(chunk_of, keys)), add_special_tokens=False)])
+    stems: dict[str, list[int]] = {}
+
+    def encode(keys: list) -> list[list[int]]:
+        words = [k for k in keys if isinstance(k, str)]
+        rest = [chunk_of(k) for k in keys if not isinstance(k, str)]
+        known, others = iter(by_stems(path, " ", words, stems)), iter(library_ids(path, rest))
+        return [next(known) if isinstance(k, str) else next(others) for k in keys]
+
+    return Encoded(encode)
 
 
 @cache
 def word_level(path: str) -> Encoded:
     """For vocabularies of lower-case words that drop white space.
 
-    ASCII words are lower-cased and a full stop or comma at their end is taken
-    off before the library sees them; it does the same.  Words that may hold an
-    added token's string stay as they are.
+    ASCII words are lower-cased before the library sees them; it does the same.
+    Words that may hold an added token's string stay as they are.
     """
-    library, stems = tokenizer(path), {}
-
-    def parts(key) -> list[str]:
-        word = key if isinstance(key, str) else key[0]
-        if not word.isascii() or "<|" in word:
-            return [word]
-        word = word.lower()
-        return [word[:-1], word[-1]] if word[-1:] in (".", ",") and word[:-1].isalpha() else [word]
-
-    def encode(keys: list) -> list[list[int]]:
-        split = list(map(parts, keys))
-        new = [x for x in dict.fromkeys(x for p in split for x in p) if x not in stems]
-        if len(stems) > MEMO_CHUNKS // 2:
-            stems.clear()
-            new = list(dict.fromkeys(x for p in split for x in p))
-        made = dict(zip(new, (x.ids for x in library.encode_batch(new, add_special_tokens=False)), strict=True))
-        stems.update((k, v) for k, v in made.items() if len(k) <= 64)
-        return [[i for x in p for i in (made.get(x) or stems.get(x) or [])] for p in split]
-
-    return Encoded(encode)
+    stems: dict[str, list[int]] = {}
+    lower = lambda w: w.lower() if w.isascii() and "<|" not in w else w
+    return Encoded(lambda keys: by_stems(path, "", [lower(k if isinstance(k, str) else k[0]) for k in keys], stems))
 
 
-def ids_of(encoder: Encoded, raw: bytes | None, end: int) -> np.ndarray:
-    """Ids of a text, then the end id; a null text has the end id alone."""
-    return np.append(encoder(raw.decode()), np.uint32(end)) if raw else np.array([end], np.uint32)
+def batch_ids(encoder: Encoded, texts, end: int) -> list[np.ndarray]:
+    """Ids of each text, then the end id; a null text has the end id alone."""
+    return [np.append(x, np.uint32(end)).astype("<u4") for x in encoder.batch(texts)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_texts
 from .common import documents, saved
-from .library_tokens import byte_level, ids_of
+from .library_tokens import batch_ids, byte_level
 
 CAPACITY = 2048
 ROUNDS, RATE = 128, 0.5
@@ -165,8 +165,7 @@ def pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -
 
         def run(part):
             rows = []
-            for d, b in zip(part.column(0).to_pylist(), part.column(1).cast("binary").to_pylist(), strict=True):
-                ids = ids_of(encode, b, end).astype("<u4")
+            for d, ids in zip(part.column(0).to_pylist(), batch_ids(encode, part.column(1), end), strict=True):
                 starts = [0] if len(ids) <= capacity else sorted(range(len(ids) - capacity, -1, -capacity))
                 if starts[0]:
                     starts = [0, *starts]

@@ -15,11 +15,14 @@ import re
 from functools import cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .chunks import MEMO_CHARS, MEMO_CHUNKS, Pieces, keys_of, pieces_of
+from .chunks import Encoded, Pieces, pieces_of
 from .common import documents
 from .vocabulary import byte_chars, json_model
 
@@ -33,9 +36,10 @@ class Counter:
         vocabulary, merges, added = json_model(path)
         self.pairs = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)}
         self.symbols = [vocabulary[byte_chars()[b]] for b in range(256)]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = re.compile("|".join(re.escape(x) for x in added)) if added else None
         self.piece = Pieces(self.merge)
-        self.chunks: dict = {}
+        #: a chunk's one number is its count
+        self.chunks = Encoded(lambda keys: [[sum(map(self.piece, pieces_of(key)))] for key in keys])
 
     def merge(self, piece: bytes) -> int:
         """Symbols left of ``piece``: its bytes minus the merges."""
@@ -63,30 +67,17 @@ class Counter:
                 heappush(heap, (pair[0], h, pair[1], symbol[h], made))
         return n - merged
 
-    def plain(self, text: str) -> int:
-        known = self.chunks
-        words: list = text.split(" ")
-        words[0] = (words[0],)
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > MEMO_CHUNKS // 2:
-            known.clear()
-        total = 0
-        for key in keys_of(text):
-            n = known.get(key)
-            if n is None:
-                n = sum(map(self.piece, pieces_of(key)))
-                if len(key if isinstance(key, str) else key[0]) <= MEMO_CHARS:
-                    known[key] = n
-            total += n
-        return total
+    def batch(self, texts: pa.Array) -> list[int]:
+        """Tokens of each text; a null has none."""
+        out = [int(x.sum()) for x in self.chunks.batch(texts)]
+        if self.added:
+            for k in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.added.pattern), False)).tolist():
+                text = texts[k].as_py()
+                out[k] = len(self.added.findall(text)) + sum(self.batch(pa.array(self.added.split(text)))) if self.added.split(text) != [text] else out[k]
+        return out
 
     def __call__(self, text: str) -> int:
-        if not self.added or not (found := self.added.findall(text)):
-            return self.plain(text)
-        return len(found) + sum(map(self.plain, self.added.split(text)))
+        return self.batch(pa.array([text]))[0]
 
 
 @cache
@@ -101,9 +92,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         count = counter(path)
 
         def run(part):
-            raw = part.column(1).cast("binary").to_pylist()
-            n = [count(b.decode()) if b else 0 for b in raw]
-            return [part.column(0), [len(b or b"") for b in raw], n, [x > limit for x in n]]
+            texts = part.column(1)
+            n = count.batch(texts)
+            return [part.column(0), pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64()), n, [x > limit for x in n]]
 
         return run
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_texts, schema_of
 from .common import documents, saved, shared_dir
-from .library_tokens import ids_of, word_level
+from .library_tokens import batch_ids, word_level
 
 #: Documents and ids that close a page.
 PAGE_DOCS, PAGE_IDS = 1024, 1 << 18
@@ -64,7 +64,7 @@ def encoded(docs: DataFrame, encoder: Callable[[str], object], path: str, end: i
         encode = encoder(path)
 
         def run(part):
-            return [part.column(0), [ids_of(encode, b, end).astype("<u4").tobytes() for b in part.column(1).cast("binary").to_pylist()]]
+            return [part.column(0), [x.tobytes() for x in batch_ids(encode, part.column(1), end)]]
 
         return run
 
