@@ -7,6 +7,7 @@ hold a large part of all rows go through :func:`lookup`.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,12 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and lost executors cost nothing."""
+def saved(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and lost executors cost nothing.
+
+    Tables in ``done``, themselves made here, are deleted then; and Spark is told
+    to let go of the shuffle files of plans that nothing refers to any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in done:
+        where = spark._jvm.org.apache.hadoop.fs.Path(old._quarry_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if done:
+        gc.collect()
+        spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
 def hot_keys(rows: DataFrame, key: str) -> list:

@@ -6,8 +6,10 @@ other, where no pivot tells them apart, so the space is first cut by pivots of
 one shingle each: a set lies in the regions of the first shingles of its own in
 one fixed order.  Sets within EPSILON share at least e(n) + 1 of them (see
 ``prefix``), so a set that shares fewer with all others is dropped, as is a
-shingle that only one set is left with.  What remains falls into blocks, and
-only their sets are gathered, each once.
+shingle that only one set is left with.  Only the sets of what remains are
+gathered, each once.  Among them shingles are counted exactly and put in a
+second order, rarest first; passages that many texts quote then name no regions
+unless they are most of a text.  What is left falls into blocks.
 
 Inside a block pivots are sets.  Each set goes to its nearest pivot's Voronoi
 region and, if d(x, p) <= d(x, home) + 2 EPSILON, to the regions that a set
@@ -270,26 +272,48 @@ def peeled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("regions", F.count(F.lit(1)).over(own)).where("regions >= greatest(1, n div 9)").select(*rows.columns)
 
 
-def blocks(docs: DataFrame, frequent: np.ndarray, rounds: int = 2) -> DataFrame:
-    """node and block: classes that could be linked, by any chain of regions, are in one block."""
+def survivors(docs: DataFrame, frequent: np.ndarray, rounds: int = 2) -> DataFrame:
+    """node: the classes that may have a link, by the regions of the first order."""
     rows = saved(shared(regions(docs, frequent)), "regions")
     for _ in range(rounds):
-        rows = saved(peeled(rows), "regions")
-        rows = shared(rows.dropDuplicates(["token", "node"]))
-    rows = saved(peeled(rows), "regions")
-    # the region's least class stands for it
-    region = Window.partitionBy("token")
-    cold = rows.where("not hot").select("node", F.min("node").over(region).alias("p"))
-    first = rows.where("hot").groupBy("token").agg(F.min("node").alias("p"))
-    hot = lookup(rows.where("hot").select("token", "node"), saved(first, "hot-regions"), "token").select("node", "p")
-    return components(cold.unionByName(hot).where("node > p").select(F.col("node").alias("a"), F.col("p").alias("b"))).select("node", F.col("root").alias("block"))
+        some = saved(peeled(rows), "regions", rows)
+        rows = saved(shared(some.dropDuplicates(["token", "node"])), "regions", some)
+    return saved(peeled(rows).select("node").distinct(), "survivors", rows)
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """node and block of MEMBERS: sets that could be linked, by any chain of regions of the second order, are in one block.
+
+    A shingle is in at most as many rows as there are sets, so no region is
+    more than a mean set's share of all rows.
+    """
+
+    def make():
+        def run(part):
+            sets = [numbers(raw) for raw in part.column(1).to_pylist()]
+            sizes = list(map(len, sets))
+            nodes = np.array([node_of(c) for c in part.column(0).to_pylist()], np.int64)
+            return [pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(np.array(sizes, np.int32), sizes))]
+
+        return run
+
+    rows = map_texts(members.select("cls", "shingles"), "token long, node long, n int", make)
+    counted = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    # a set's own shingles come first: only those that others have too are listed
+    listed = counted.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    first = f"n - ceil({PERCENT} * n / 100) + 1 + n div 9 - (n - size(own))"
+    cut = listed.withColumn("k", F.expr(f"cast({first} as int)")).where("k >= greatest(1, n div 9)")
+    cut = saved(cut.select("node", "n", F.explode(F.expr("slice(own, 1, k).token")).alias("token")), "second-regions")
+    pivots = saved(cut.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("hi")).where("p < hi").select("token", "p"), "region-pivots")
+    met = lookup(cut, pivots, "token").withColumn("regions", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("regions >= greatest(1, n div 9)")
+    return components(met.where("node > p").select(F.col("node").alias("a"), F.col("p").alias("b"))).select("node", F.col("root").alias("block"))
 
 
 def numbers(raw) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-MEMBERS = "block long, cls binary, shingles binary"
+MEMBERS = "cls binary, shingles binary"
 
 
 def small_blocks(rows: DataFrame) -> DataFrame:
@@ -377,13 +401,21 @@ def large_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
     def compare(own, others):
-        far = np.array([d for _, _, d, _ in others])
         sets = [numbers(raw) for _, raw, _, _ in others]
+        sizes = np.array(list(map(len, sets)))
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        far = np.array([d for _, _, d, _ in others])
         out = []
         for cls, raw, d, root in own:
             x, met = numbers(raw), {root}
-            for k in np.flatnonzero((np.abs(far - np.array(d)) <= EPSILON + 1e-9).all(axis=1)).tolist():
-                if others[k][3] not in met and linked(x, sets[k]):
+            lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
+            near = (100 * both >= PERCENT * (len(x) + sizes - both)) & (np.abs(far - np.array(d)) <= EPSILON + 1e-9).all(axis=1)
+            for k in np.flatnonzero(near).tolist():
+                if others[k][3] not in met:
                     met.add(others[k][3])
                     out.append((cls, others[k][0]))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
@@ -400,22 +432,22 @@ def joined(docs: DataFrame) -> DataFrame:
     often = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("n")).where(F.col("n") >= max(HOT_LEAST, by_class.count() // COMMON))
     # at most MAX_COMMON numbers, whatever the corpus
     frequent = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token").collect()], np.int64).view(np.uint64))
-    found = blocks(docs, frequent)
-    sized = found.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    mine = saved(with_nodes(by_class).join(found, "node").select("first", "cls", "block"), "block-members")
-    texts = docs.where("doc_id is not null").join(mine.withColumnRenamed("first", "doc_id"), "doc_id").select("block", "cls", "text")
+    mine = saved(with_nodes(by_class).join(survivors(docs, frequent), "node", "left_semi").select("first", "cls"), "surviving-classes")
+    texts = docs.where("doc_id is not null").join(mine.withColumnRenamed("first", "doc_id"), "doc_id").select("cls", "text")
 
     def make():
         def run(part):
-            sets = [shingles(raw) for raw in part.column(2).cast("binary").to_pylist()]
+            sets = [shingles(raw) for raw in part.column(1).cast("binary").to_pylist()]
             # another row may share the doc_id
-            keep = [class_of(x) == c for x, c in zip(sets, part.column(1).to_pylist(), strict=True)]
-            same = pa.array(keep, pa.bool_())
-            return [part.column(0).filter(same), part.column(1).filter(same), [x.tobytes() for x, k in zip(sets, keep, strict=True) if k]]
+            keep = [class_of(x) == c for x, c in zip(sets, part.column(0).to_pylist(), strict=True)]
+            return [part.column(0).filter(pa.array(keep, pa.bool_())), [x.tobytes() for x, k in zip(sets, keep, strict=True) if k]]
 
         return run
 
-    members = saved(map_texts(texts, MEMBERS, make, 2), "block-sets")
+    gathered = saved(map_texts(texts, MEMBERS, make), "sets", mine)
+    found = saved(blocks(gathered), "blocks")
+    members = saved(with_node_sets(gathered).join(found, "node").select("block", "cls", "shingles"), "block-sets", gathered)
+    sized = members.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     sized = saved(sized, "block-sizes")
     large = sized.where(f"size > {BLOCK}")
     roots = small_blocks(members.join(sized.where(f"size <= {BLOCK}").select("block"), "block", "left_semi"))
@@ -438,6 +470,15 @@ def with_nodes(rows: DataFrame) -> DataFrame:
     return map_texts(rows.select("cls", "first"), "cls binary, first long, node long", make, 0)
 
 
+def with_node_sets(rows: DataFrame) -> DataFrame:
+    """MEMBERS rows with their node."""
+
+    def make():
+        return lambda part: [part.column(0), part.column(1), [node_of(c) for c in part.column(0).to_pylist()]]
+
+    return map_texts(rows.select("cls", "shingles"), f"{MEMBERS}, node long", make)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are linked to one with a smaller doc_id; rows with a null doc_id stay."""
     keep = joined(docs).where("doc_id is null or component_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct()
