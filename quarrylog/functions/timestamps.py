@@ -26,22 +26,18 @@ def epoch_unit(whole: Column) -> Column:
 
 def _epoch(whole: Column, fraction: Column, unit: Column) -> Column:
     """struct(sec, nsec) of a number of units and a fraction (double, at least 0) of one."""
-    out = F.lit(None).cast("struct<sec: bigint, nsec: int>")
-    for name in UNITS:
-        k = PER_SECOND[name]
-        step = 1_000_000_000 // k
-        negative = whole < 0
-        # the fraction goes away from zero; a unit of nanoseconds has none
-        more = F.round(fraction * step).cast("bigint") if step > 1 else F.lit(0).cast("bigint")
-        more = F.when(negative, -more).otherwise(more)
-        rest = (whole % k + k) % k * step
-        nanos = rest + more
-        # the remainder is taken off first, so the division is exact
-        sec = whole if k == 1 else F.floor((whole - (whole % k + k) % k).cast("decimal(38,0)") / k).cast("bigint")
-        carry = F.floor(nanos / F.lit(1_000_000_000)).cast("bigint")
-        made = F.struct((sec + carry).alias("sec"), (nanos - carry * 1_000_000_000).cast("int").alias("nsec"))
-        out = F.when(unit == name, made).otherwise(out)
-    return out
+    per = F.lit(1).cast("bigint")
+    for name in UNITS[1:]:
+        per = F.when(unit == name, F.lit(PER_SECOND[name]).cast("bigint")).otherwise(per)
+    step = F.expr("1000000000L")
+    # the fraction goes away from zero; a unit of nanoseconds has none
+    more = F.when(unit == "nanoseconds", 0).otherwise(F.round(fraction * (step / per))).cast("bigint")
+    rest = F.pmod(whole, per)
+    nanos = rest * (step / per).cast("bigint") + F.when(whole < 0, -more).otherwise(more)
+    carry = F.floor(nanos / step).cast("bigint")
+    # the remainder is taken off first, so the division is exact
+    sec = ((whole - rest).cast("decimal(38,0)") / per).cast("bigint")
+    return F.struct((sec + carry).alias("sec"), (nanos - carry * step).cast("int").alias("nsec"))
 
 
 def parsed(raw: Column, unit: str | None = None) -> Column:
