@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from ..operators.records import ENTRY
 
@@ -72,8 +72,8 @@ class AppendedLines(DataSource):
     def name(cls) -> str:
         return "appended-lines"
 
-    def schema(self) -> StructType:
-        return _parse_datatype_string(ENTRY)
+    def schema(self) -> str:
+        return ENTRY
 
     def simpleStreamReader(self, schema: StructType) -> AppendedLinesReader:
         return AppendedLinesReader(self.options)
