@@ -37,5 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     roots = saved(roots.select(F.col("u").alias("p"), "root"), "roots")
-    nodes = tied.select(F.col("u").alias("node"), "p").unionByName(tied.select(F.col("p").alias("node"), "p").distinct())
+    # every node that is someone's lesser neighbour stands for itself too; the least root found for a node is right
+    nodes = tied.select(F.col("u").alias("node"), "p").unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("p")).distinct())
     return saved(lookup(nodes, roots, "p", "left").groupBy("node").agg(F.min(F.coalesce("root", "p")).alias("root")), "components")
