@@ -22,9 +22,9 @@ from xxhash import xxh3_64_intdigest
 from .vocabulary import pattern
 
 #: Words a worker remembers by a 64-bit hash, and ids it holds for them; beyond that it forgets all and starts again.
-MEMO_WORDS, MEMO_IDS = 2_000_000, 16_000_000
+MEMO_WORDS, MEMO_IDS = 1_200_000, 12_000_000
 #: Chunks that it remembers by themselves.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 150_000
 #: Longer chunks are worked out anew each time.
 MEMO_CHARS = 64
 
