@@ -40,27 +40,38 @@ def _epoch(whole: Column, fraction: Column, unit: Column) -> Column:
     return F.struct((sec + carry).alias("sec"), (nanos - carry * step).cast("int").alias("nsec"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _calendar(part: Column) -> Column:
+    """struct(sec, nsec, offset_min) of the eight groups of RFC3339; null if there is no such date or time."""
+    two = lambda i: F.lpad(part[i], 2, "0")
+    # a constant zone makes the arithmetic independent of the session's
+    stamp = F.concat(part[0], F.lit("-"), two(1), F.lit("-"), two(2), F.lit(" "), two(3), F.lit(":"), two(4), F.lit(":"), two(5), F.lit(" +00:00"))
+    at = F.unix_seconds(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss XXX")))
+    digits = F.regexp_replace(part[7], r"\D", "")
+    minutes = F.when(F.length(digits) == 4, F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")).otherwise(0)
+    offset = F.when(part[7].startswith("-"), -minutes).otherwise(minutes).cast("int")
+    nsec = F.rpad(F.substring(part[6], 1, 9), 9, "0").cast("int")
+    return _let(F.struct(at.alias("at"), offset.alias("o"), nsec.alias("n")), lambda x: F.when(x["at"].isNotNull(), F.struct((x["at"] - x["o"] * 60).alias("sec"), x["n"].alias("nsec"), x["o"].alias("offset_min"))))
+
+
 def parsed(raw: Column, unit: str | None = None) -> Column:
     """struct(sec, nsec, offset_min) of a raw timestamp; null where it is none."""
-    part = lambda i: F.regexp_extract(raw, RFC3339, i)
-    zone = part(8)
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    digits = F.regexp_replace(zone, r"\D", "")
-    offset = F.when(F.length(digits) == 4, sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int"))).otherwise(0)
-    stamp = F.concat_ws(" ", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), F.concat_ws(":", F.lpad(part(4), 2, "0"), F.lpad(part(5), 2, "0"), F.lpad(part(6), 2, "0")))
-    # a constant zone makes the arithmetic independent of the session's
-    at = F.try_to_timestamp(F.concat(stamp, F.lit(" +00:00")), F.lit("yyyy-MM-dd HH:mm:ss XXX"))
-    calendar = F.struct((F.unix_seconds(at) - offset * 60).alias("sec"), F.rpad(F.substring(part(7), 1, 9), 9, "0").cast("int").alias("nsec"), offset.cast("int").alias("offset_min"))
+    groups = F.split(F.regexp_replace(raw, RFC3339, "\x01".join(f"${i}" for i in range(1, 9))), "\x01", -1)
     whole = F.regexp_extract(raw, r"^(-?\d+)", 1).try_cast("bigint")
     fraction = F.coalesce(F.concat(F.lit("0."), F.regexp_extract(raw, r"\.(\d+)\z", 1)).try_cast("double"), F.lit(0.0))
-    number = _epoch(whole, fraction, F.lit(unit) if unit else epoch_unit(whole))
-    number = F.struct(number["sec"].alias("sec"), number["nsec"].alias("nsec"), F.lit(0).alias("offset_min"))
-    none = F.lit(None).cast("struct<sec: bigint, nsec: int, offset_min: int>")
+
+    def number(x: Column) -> Column:
+        at = _epoch(x["w"], x["f"], F.lit(unit) if unit else epoch_unit(x["w"]))
+        return F.when(x["w"].isNotNull(), _let(at, lambda t: F.struct(t["sec"].alias("sec"), t["nsec"].alias("nsec"), F.lit(0).alias("offset_min"))))
+
     return (
-        F.when(raw.rlike(RFC3339), F.when(at.isNotNull(), calendar).otherwise(none))
-        .when((raw.rlike(WHOLE) | raw.rlike(FRACTIONAL)) & whole.isNotNull(), number)
-        .otherwise(none)
-    )
+        F.when(raw.rlike(RFC3339), _let(groups, _calendar))
+        .when(raw.rlike(WHOLE) | raw.rlike(FRACTIONAL), _let(F.struct(whole.alias("w"), fraction.alias("f")), number))
+    )
 
 
 def instant(sec: Column, nsec: Column) -> Column:

@@ -96,8 +96,8 @@ for _name, _query, _condition in [
     _add(_name, lambda s, d, q=_query: _sparse(s, d).where(q).df.select("event_id", "kind", "user"), f"{SPARSE} SELECT event_id, kind, \"user\" FROM s WHERE {_condition}")
 
 _vectors = lambda s, d: LogFrame.from_table(table(s, d, "embeddings"), ("vec_id",))
-_add("array_any", lambda s, d: _vectors(s, d).where("embedding.[] > 2.5").df.select("vec_id", "label"), "SELECT vec_id, label FROM embeddings WHERE len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 2.5)) > 0")
-_add("array_index", lambda s, d: _vectors(s, d).where("embedding.[3] > 0.5").df.select("vec_id", "label"), "SELECT vec_id, label FROM embeddings WHERE CAST(embedding[4] AS DOUBLE) > 0.5")
+_add("array_any", lambda s, d: _vectors(s, d).where("embedding.[] > 0.3").df.select("vec_id", "label"), "SELECT vec_id, label FROM embeddings WHERE len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.3)) > 0")
+_add("array_index", lambda s, d: _vectors(s, d).where("embedding.[3] > 0.1").df.select("vec_id", "label"), "SELECT vec_id, label FROM embeddings WHERE CAST(embedding[4] AS DOUBLE) > 0.1")
 
 
 def _sort_chronological(s, d):
