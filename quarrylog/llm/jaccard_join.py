@@ -154,7 +154,7 @@ def leaf(sets: list[np.ndarray], items: list[int], forest: Forest) -> None:
 
 
 def voronoi(sets: list[np.ndarray], items: list[int], forest: Forest) -> list[list[int]] | None:
-    """Regions with their boundaries around pivots far from each other; None if that divides nothing."""
+    """Regions with their boundaries around pivots far from each other; None if that divides too little."""
     pivots, far = [items[0]], np.full(len(items), np.inf)
     rows = []
     for _ in range(PIVOTS):
@@ -176,10 +176,10 @@ def voronoi(sets: list[np.ndarray], items: list[int], forest: Forest) -> list[li
         inside = (home == k) | (d[k] <= nearest + 2 * EPSILON + 1e-9)
         if not (home == k).any():
             continue
-        if inside.all():
-            return None
         out.append([items[i] for i in np.flatnonzero(inside).tolist()])
-    return out
+    # boundaries that are most of the regions would multiply from level to level; pairs are then fewer
+    worth = max(map(len, out)) <= 0.75 * len(items) and sum(map(len, out)) <= 1.25 * len(items)
+    return out if worth else None
 
 
 def classes(docs: DataFrame) -> DataFrame:
