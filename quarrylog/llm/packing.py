@@ -5,8 +5,10 @@ program chooses how often to use each so that all pieces are covered with the
 fewest sequences.  It sees only the histogram of lengths, so its size depends
 on the capacity and not on the corpus.  Multiplicative weights solve it: prices
 per length, a knapsack dynamic program that finds the most valuable
-configuration, and prices that fall as a length is covered.  The fractional
-answer is rounded down and what is left is packed best fit, longest first.
+configuration of the pieces there are, and prices that fall as a length is
+covered, until all are covered and the prices prove the answer near the best.
+Uses are whole; the pieces of configurations that are not full enough are packed
+best fit, longest first.
 
 Defined results: a null or empty text is the end id alone; a null doc_id passes
 through; repeated rows are packed each; an empty table gives no pieces.
@@ -27,57 +29,85 @@ from .common import documents, saved
 from .library_tokens import batch_ids, byte_level
 
 CAPACITY = 2048
-ROUNDS, RATE = 128, 0.5
-#: Shares of the capacity that a configuration may leave empty and still be used; the best rounding is taken.
-SLACKS = (0.0, 1 / 64, 1 / 8, 1.0)
+#: How fast prices fall, and how far from the bound the program may end.
+RATE, GAP = 0.5, 1 / 256
+#: Shares of the capacity that a configuration may leave empty and still be used; the fewest sequences are taken, of equals the first.
+SLACKS = (1.0, 1 / 8, 1 / 64, 0.0)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths within ``capacity``: index -> times."""
-    best = np.zeros(capacity + 1)
-    chosen = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(int(lengths[0]), capacity + 1):
-        n = fits[room]
-        value = best[room - lengths[:n]] + prices[:n]
-        k = int(value.argmax())
-        if value[k] > best[room - 1]:
-            best[room], chosen[room] = value[k], k
-        else:
-            best[room] = best[room - 1]
+def knapsack(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The most valuable multiset of at most ``counts`` pieces within ``capacity``, index -> times, and its value; the longest of equals."""
+    density = prices / lengths
+    order = np.lexsort((-lengths, -density.round(12)))
+    best, free = np.zeros(capacity + 1), np.arange(capacity, -1, -1)
+    items, took = [], []
+    for i, k in enumerate(order.tolist()):
+        # whatever the rest may add is worth its density for each free place at most
+        if i % 8 == 0 and (best + free * density[k]).max() <= best[capacity] * (1 + 1e-9):
+            break
+        size, left, some = int(lengths[k]), min(int(counts[k]), capacity // int(lengths[k])), 1
+        while left:
+            n = min(some, left)
+            left, some = left - n, 2 * some
+            value = best[: -n * size] + n * prices[k]
+            # sums in another order are no gain
+            better = value > best[n * size :] + 1e-12
+            items.append((k, n))
+            took.append(better)
+            best[n * size :][better] = value[better]
     room, times = capacity, Counter()
-    while room > 0:
-        if chosen[room] < 0:
-            room -= 1
-        else:
-            times[int(chosen[room])] += 1
-            room -= int(lengths[chosen[room]])
-    return dict(times)
+    for (k, n), better in zip(reversed(items), reversed(took), strict=True):
+        used = n * int(lengths[k])
+        if used <= room and better[room - used]:
+            times[k] += n
+            room -= used
+    return dict(times), float(best[capacity])
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple, float]:
-    """Configurations, as sorted (index, times) pairs, and how often to use each, by multiplicative weights.
+def covering(lengths: np.ndarray, counts: np.ndarray, capacity: int, prices: np.ndarray, rate: float = RATE) -> dict[tuple, int]:
+    """Configurations, as sorted (index, times) pairs, and how often to use each, until every piece is covered.
 
-    A configuration is used as often as its scarcest length allows; a length's
-    price falls with the share of its pieces covered, beginning at its size.
+    A configuration holds no more of a length than is left and is used as often
+    as its scarcest length allows; a price falls with the share covered.
+    """
+    prices, left, used = prices.copy(), counts.copy(), Counter()
+    while (live := np.flatnonzero(left)).size:
+        times, _ = knapsack(lengths[live], prices[live], left[live], capacity)
+        at, n = live[np.fromiter(times, int)], np.fromiter(times.values(), int)
+        amount = int((left[at] // n).min())
+        used[tuple(sorted(zip(at.tolist(), n.tolist(), strict=True)))] += amount
+        left[at] -= amount * n
+        prices[at] *= np.exp(-rate * amount * n / counts[at])
+    return dict(used)
+
+
+def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple, int], float]:
+    """The best covering and a lower bound of its sequences.
+
+    Any prices bound the program from below: what all pieces cost over the most
+    valuable configuration.  Prices begin at the sizes and grow by what the
+    configurations of a length leave empty, until the bound is within GAP of the
+    covering or neither comes nearer by as much.
     """
-    prices = lengths / capacity
-    need = counts.astype(float)
-    used: dict[tuple, float] = defaultdict(float)
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds):
-        times = knapsack(lengths, prices, capacity)
-        at, n = np.fromiter(times, int), np.fromiter(times.values(), float)
-        n = np.minimum(n, need[at])
-        amount = (need[at] / n).min()
-        used[tuple(sorted(zip(at.tolist(), n.astype(int).tolist(), strict=True)))] += amount
-        share = amount * n / need[at]
-        covered[at] += share
-        prices[at] *= np.exp(-rate * share)
-    scale = max(1.0, float(np.median(covered[covered > 0])))
-    return {c: x / scale for c, x in used.items()}
+    prices, best, fewest, bound = lengths / capacity, None, 0, 0.0
+    while True:
+        below = float(prices @ counts) / knapsack(lengths, prices, counts, capacity)[1]
+        used = covering(lengths, counts, capacity, prices)
+        n = sum(used.values())
+        nearer = best is None or n * (1 + GAP) <= fewest or below >= bound * (1 + GAP)
+        if best is None or n < fewest:
+            best, fewest = used, n
+        bound = max(bound, below)
+        if not nearer or fewest <= max(bound * (1 + GAP), np.ceil(bound - 1e-6)):
+            return best, bound
+        paid = np.zeros(len(lengths))
+        for made, times in used.items():
+            size = sum(int(lengths[k]) * n for k, n in made)
+            for k, n in made:
+                paid[k] += times * n * capacity / size
+        prices = prices * paid / counts
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -102,8 +132,8 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [(made, n) for found in open_.values() for made, n in found]
 
 
-def rounded(solution: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, capacity: int, slack: float) -> list[tuple[tuple[int, ...], int]]:
-    """Whole uses of the solution's configurations that leave at most ``slack`` of a sequence empty, fullest first; the rest best fit."""
+def rounded(solution: dict[tuple, int], lengths: np.ndarray, counts: np.ndarray, capacity: int, slack: float) -> list[tuple[tuple[int, ...], int]]:
+    """The solution's configurations that leave at most ``slack`` of a sequence empty, fullest first; the rest best fit."""
     left, out = counts.copy(), []
     size = {c: sum(int(lengths[k]) * n for k, n in c) for c in solution}
     for made in sorted(solution, key=lambda c: -size[c]):
@@ -122,7 +152,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         return []
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[x] for x in lengths.tolist()])
-    solution = fractional(lengths, counts, capacity)
+    solution, _ = solved(lengths, counts, capacity)
     return min((rounded(solution, lengths, counts, capacity, x) for x in SLACKS), key=lambda p: sum(n for _, n in p))
 
 

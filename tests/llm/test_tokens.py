@@ -120,3 +120,23 @@ def test_plan_holds_every_piece_and_is_near_the_bound(seed):
     assert sum(n for _, n in planned) <= 1.01 * bound + 1
     # without small pieces no sequence can be filled up
     assert sum(n for _, n in packing.plan({1100: 10, 1000: 10})) == 10 + 5
+
+
+def test_program_places_the_pieces(monkeypatch):
+    rnd = np.random.default_rng(5)
+    histogram = {int(k): int(n) for k, n in zip(*np.unique(np.clip(rnd.lognormal(6, 1, 3000), 1, 2048).astype(int), return_counts=True), strict=True)}
+    left_over, best_fit = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda lengths, counts, capacity: left_over.append(int(lengths @ counts)) or best_fit(lengths, counts, capacity))
+    packing.plan(histogram)
+    assert max(left_over) <= 0.2 * sum(k * n for k, n in histogram.items())
+
+
+def test_program_is_proved_by_prices():
+    for histogram, want in (({1000: 10, 1100: 10}, 15), ({1: 1, 700: 3, 1500: 4}, 6), ({2048: 7}, 7)):
+        lengths, counts = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+        used, bound = packing.solved(lengths, counts, 2048)
+        held = np.zeros(len(lengths), int)
+        for made, times in used.items():
+            for k, n in made:
+                held[k] += n * times
+        assert held.tolist() == counts.tolist() and sum(used.values()) == want and want - 1 < bound <= want + 1e-6
