@@ -4,10 +4,11 @@ Patterns find the entities to protect (base spans).  Terms near them may tell
 who is meant even when the entity itself is masked.  How much a term t tells
 about an entity e is their pointwise mutual information against the entity's
 information content: PMI(t, e) / IC(e) = 1 + log2 P(e | t) / IC(e), with
-P(e | t) from counts over all documents.  A term is disclosing when that ratio
-and P(e | t) itself reach the thresholds in at least MIN_CONTEXTS different
-surroundings, so copies of one text are no evidence.  Disclosing terms are spans
-wherever they stand; sanitised texts name an entity's or term's kind instead.
+P(e | t) from counts over all documents, in which every term has SMOOTHING more
+documents without the entity, so few documents weigh less but are not left out.
+A term is disclosing when that ratio and P(e | t) itself reach the thresholds.
+Disclosing terms are spans wherever they stand; sanitised texts name an entity's
+or term's kind instead.
 
 Defined results: a null or empty text has no spans; a null doc_id passes
 through; repeated rows are treated alike; an empty table gives an empty result;
@@ -17,6 +18,7 @@ extra columns are ignored (``sanitised`` keeps them).
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 
 import numpy as np
@@ -37,9 +39,10 @@ DIGIT = re.compile(r"[0-9]")
 
 #: Words on either side of an entity, within its line, that are its surroundings.
 WINDOW, WINDOW_CHARS = 8, 240
-MIN_TERM, MIN_CONTEXTS, MIN_RATIO, MIN_CHANCE = 4, 3, 0.9, 0.5
+MIN_TERM, SMOOTHING, MIN_RATIO, MIN_CHANCE = 4, 0.5, 0.9, 0.5
 #: Terms are looked for through a bitmap of this many bits, whatever their number.
 BITS = 1 << 20
+INNER = frozenset("'’-‐‑._&/·")
 EDGES = "\"'()[]{}<>.,;:!?…»«"
 
 
@@ -89,8 +92,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def term_of(word: str) -> str | None:
+    """A word in lower case without edges: letters with their combining marks, and INNER marks between them."""
     term = word.strip(EDGES).lower()
-    return term if len(term) >= MIN_TERM and term.isalpha() else None
+    if len(term) < MIN_TERM or term.isalpha():
+        return term if len(term) >= MIN_TERM else None
+    kept = [c for c in term if c not in INNER]
+    if len(kept) < MIN_TERM or term[0] in INNER or term[-1] in INNER:
+        return None
+    return term if all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in kept) else None
 
 
 def surroundings(text: str, start: int, end: int) -> list[str]:
@@ -125,7 +134,7 @@ BASE = "row_key long, doc_id long, spans array<struct<kind: string, start: int,
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """BASE of every row, then ``seen``: what surrounds each entity, as (entity, terms, context)."""
+    """BASE of every row, then ``seen``: what surrounds each entity, as (entity, terms)."""
 
     def make():
         def run(part):
@@ -138,13 +147,13 @@ def scanned(docs: DataFrame) -> DataFrame:
                 near = []
                 for k, a, b in found:
                     terms = surroundings(text, a, b)
-                    near.append({"entity": entity_of(k, text[a:b]), "terms": sorted(set(terms)), "context": xxh3_64_intdigest(" ".join(terms)) - (1 << 63)})
+                    near.append({"entity": entity_of(k, text[a:b]), "terms": sorted(set(terms))})
                 seen.append(near)
             return [keys, part.column(0), spans, seen]
 
         return run
 
-    return map_texts(docs.select("doc_id", "text"), f"{BASE}, seen array<struct<entity: string, terms: array<string>, context: long>>", make)
+    return map_texts(docs.select("doc_id", "text"), f"{BASE}, seen array<struct<entity: string, terms: array<string>>>", make)
 
 
 def bit(term: str) -> int:
@@ -213,19 +222,18 @@ def document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, base: DataFrame, n_docs: int) -> DataFrame | None:
-    """The terms that disclose an entity; None if no term is near any entity often enough."""
+    """The terms that disclose an entity; None if no term is near any entity."""
     seen = base.select("row_key", F.explode("seen").alias("s")).select("row_key", "s.*")
-    pairs = seen.select("row_key", "entity", "context", F.explode("terms").alias("term"))
-    # first to one row a context, then to one a pair: an entity or term that is everywhere meets in no one task
-    contexts = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts")).where(f"n_contexts >= {MIN_CONTEXTS}")
+    pairs = seen.select("row_key", "entity", F.explode("terms").alias("term"))
+    # first to one row a document, then to one a pair: an entity or term that is everywhere meets in no one task
     both = pairs.groupBy("entity", "term", "row_key").agg(F.count(F.lit(1)).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    candidates = saved(contexts.join(both, ["entity", "term"]), "candidate-terms")
+    candidates = saved(both, "candidate-terms")
     bits = bitmap(candidates.select("term").distinct())
     if bits is None:
         return None
     entities = seen.groupBy("entity", "row_key").agg(F.count(F.lit(1)).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     rows = lookup(lookup(candidates, saved(document_counts(docs, bits), "term-counts"), "term"), saved(entities, "entity-counts"), "entity")
-    chance = F.col("n_both") / F.col("n_term")
+    chance = F.col("n_both") / (F.col("n_term") + SMOOTHING)
     ratio = 1 + F.log2(chance) / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     return saved(rows.where((chance >= MIN_CHANCE) & (F.col("n_entity") < n_docs) & (ratio >= MIN_RATIO)).select("term").distinct(), "disclosing-terms")
 

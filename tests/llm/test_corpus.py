@@ -138,6 +138,13 @@ def test_disclosing_terms(spark, nothing):
     assert hashlib.sha256(b"").hexdigest() in {r.base_sha256 for r in digest(docs)}
 
 
+def test_one_document_discloses(spark):
+    rows = [(0, "ask Zebulon o'hanrahan jo@x.org about words"), (1, "and then nothing")] + [(i, "ask about words and nothing else") for i in range(2, 100)]
+    found = {r.doc_id: r for r in pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[0][1][s.start : s.end] for s in found[0].added] == ["Zebulon", "o'hanrahan"]
+    assert not any(found[i].added for i in range(1, 100))
+
+
 def digest(docs):
     import unittest.mock
 
