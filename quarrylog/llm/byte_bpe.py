@@ -9,11 +9,13 @@ trie node, the last whole token, and the tokens that are whole but not yet
 certain.  Tokens shared by all hypotheses are emitted at once; no hypothesis
 lives longer than the longest token, which bounds the lookahead.
 
-Decoding.  Token bytes drive a UTF-8 automaton that emits whole characters and
-carries an unfinished one over to the next token.
+Decoding.  Token bytes drive a UTF-8 automaton that emits the bytes of whole
+characters and carries an unfinished one over to the next token.
 
 Defined results: a null text is empty; an empty text has no ids; bytes that the
-vocabulary can't spell raise; a null doc_id passes through.
+vocabulary can't spell raise; a null doc_id passes through; repeated rows are
+encoded each; an empty table gives an empty result; extra columns are ignored,
+whatever their names; a very long text is encoded whole, its words one by one.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .arrow import map_texts
-from .chunks import Encoded, Pieces, pieces_of
+from .chunks import ROWS, Encoded, Pieces, pieces_of
 from .common import documents
 from .vocabulary import ranks
 
 #: Determinised states that are kept; beyond that all are forgotten and made anew.
-MAX_STATES = 80_000
+MAX_STATES = 120_000
 
 
 class Transducer:
@@ -119,22 +121,31 @@ class Transducer:
         have one encoding, so at most one of them becomes whole.
         """
         reached, whole = [], None
-        following, tokens = self.next, self.token
+        following, tokens, stable = self.next, self.token, self.stable
         for node, last, pending in self.states[state]:
             to = following[node].get(byte)
-            if to is not None:
-                if following[to]:
-                    reached.append((to, last, pending))
-                if whole is None and tokens[to] >= 0 and self.follows(last, tokens[to]):
-                    whole = (0, tokens[to], (*pending, tokens[to]))
+            if to is None:
+                continue
+            if following[to]:
+                reached.append((to, last, pending))
+            token = tokens[to]
+            if token >= 0 and whole is None:
+                joins = stable.get(last << 32 | token)
+                if self.follows(last, token) if joins is None else joins:
+                    whole = (0, token, (*pending, token))
         if whole:
             reached.append(whole)
         if not reached:
             raise ValueError("the vocabulary can't spell this text")
-        n, first = 0, reached[0][2]
-        while n < len(first) and all(p[n : n + 1] == first[n : n + 1] for _, _, p in reached):
-            n += 1
-        made = tuple((node, last, p[n:]) for node, last, p in reached) if n else tuple(reached)
+        first = reached[0][2]
+        n = len(first)
+        for _, _, p in reached:
+            n = min(n, len(p))
+            while n and p[:n] != first[:n]:
+                n -= 1
+            if not n:
+                break
+        made = tuple([(node, last, p[n:]) for node, last, p in reached]) if n else tuple(reached)
         number = self.numbers.get(made)
         if number is None:
             number = self.numbers[made] = len(self.states)
@@ -152,9 +163,6 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece, which the split pattern has cut off."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
         if len(self.states) > MAX_STATES:
             self.forget()
         state, out, steps = 0, [], self.steps
@@ -173,7 +181,7 @@ def transducer(path: str) -> Transducer:
 @cache
 def encoder(path: str) -> Encoded:
     piece = Pieces(transducer(path).encode)
-    return Encoded(lambda keys: [[i for x in pieces_of(key) for i in piece(x)] for key in keys])
+    return Encoded(lambda chunks: [[i for x in pieces_of(chunk) for i in piece(x)] for chunk in chunks])
 
 
 def encode(path: str, text: str) -> np.ndarray:
@@ -196,61 +204,67 @@ BAD = 8
 
 
 class Decoder:
-    """Streaming decoder: ``feed`` ids as they come, get the characters that are whole by then.
+    """Streaming decoder: ``feed`` ids as they come, get the bytes of the characters that are whole by then.
 
-    A token's effect on the automaton is tabulated, so only the tokens that
-    begin or end inside a character are walked; a byte that can't follow
-    becomes U+FFFD when the stream's characters are made.
+    A token takes the automaton from state to state; that is worked out once for
+    each token and state, and whole tokens are known to leave it between
+    characters if they find it there.  A byte that can't follow ends what is
+    pending and is looked at again between characters; such bytes pass as they
+    are, and become U+FFFD where text is made of them.
     """
 
     def __init__(self, tokens: dict[int, bytes]):
-        self.tokens = tokens
-        self.table = np.full((9, 256), BAD, np.uint8)
+        self.table = np.full((8, 256), BAD, np.uint8)
         for state, ways in UTF8.items():
             for a, b, to in ways:
                 self.table[state, a : b + 1] = to
-        size = max(tokens) + 1
-        self.bytes = [tokens.get(i, b"") for i in range(size)]
-        self.lengths = np.array([len(x) for x in self.bytes])
-        self.whole = np.array([self.walk(0, x) == 0 for x in self.bytes])
+        self.bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.known: dict[tuple[int, int], tuple[int, int]] = {}
+        self.whole = np.array([self.step(0, i)[0] == 0 for i in range(len(self.bytes))])
         self.reset()
 
-    def walk(self, state: int, piece: bytes) -> int:
-        for b in piece:
-            state = int(self.table[state, b])
-        return state
+    def step(self, state: int, token: int) -> tuple[int, int]:
+        """The state after the token, and how many of its bytes belong to a character that begins in it and is not whole; -1 if one from before still isn't."""
+        key = state, token
+        if (found := self.known.get(key)) is None:
+            begun, piece = -1 if state else 0, self.bytes[token]
+            for at, b in enumerate(piece):
+                to = int(self.table[state, b])
+                if to == BAD:
+                    # what was pending is over; the byte may begin a character
+                    to, begun = int(self.table[0, b]) % BAD, at
+                elif not state:
+                    begun = at
+                state = to
+            found = self.known[key] = (0, 0) if not state else (state, -1 if begun < 0 else len(piece) - begun)
+        return found
 
     def reset(self) -> None:
         self.state, self.carried = 0, b""
 
-    def feed(self, ids: np.ndarray) -> str:
-        data = self.carried + b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        state = 0
-        # after a token that leaves the automaton between characters, whole tokens keep it there
-        broken = np.flatnonzero(~self.whole[ids])
-        previous = -1
-        state = self.state
-        for i in broken.tolist():
-            if i > previous + 1 and state != 0:
-                state = self.walk(state, self.bytes[ids[previous + 1]])
-            state = self.walk(state, self.bytes[ids[i]])
-            previous = i
-        if len(ids) > previous + 1 and state != 0:
-            state = self.walk(state, self.bytes[ids[previous + 1]])
+    def feed(self, ids: np.ndarray) -> bytes:
+        tokens = ids.tolist()
+        state, pending, at = self.state, len(self.carried), 0
+        loose = iter([*np.flatnonzero(~self.whole[ids]).tolist(), len(tokens)])
+        while at < len(tokens):
+            if not state:
+                # whole tokens leave the automaton where it is
+                at = next(k for k in loose if k >= at)
+                pending = 0
+                if at == len(tokens):
+                    break
+            state, begun = self.step(state, tokens[at])
+            pending = pending + len(self.bytes[tokens[at]]) if begun < 0 else begun
+            at += 1
         self.state = state
-        if state in (0, BAD):
-            self.carried = b""
-            self.state = 0
-            return data.decode("utf-8", "replace")
-        keep = 1
-        while data[-keep] & 0xC0 == 0x80:
-            keep += 1
-        self.carried = data[-keep:]
-        return data[:-keep].decode("utf-8", "replace")
-
-    def end(self) -> str:
+        pending = pending if state else 0
+        data = self.carried + b"".join(map(self.bytes.__getitem__, tokens))
+        self.carried = data[len(data) - pending :]
+        return data[: len(data) - pending]
+
+    def end(self) -> bytes:
         """What is left of a character that never became whole."""
-        rest = self.carried.decode("utf-8", "replace")
+        rest = self.carried
         self.reset()
         return rest
 
@@ -264,10 +278,11 @@ def decoder(path: str) -> Decoder:
 STREAM_IDS = 65_536
 
 
-def decode(path: str, ids: np.ndarray) -> str:
+def decode(path: str, ids: np.ndarray) -> bytes:
+    """The bytes of a whole stream of ids."""
     machine = decoder(path)
     machine.reset()
-    return "".join([*(machine.feed(ids[i : i + STREAM_IDS]) for i in range(0, len(ids), STREAM_IDS)), machine.end()])
+    return b"".join([*(machine.feed(ids[i : i + STREAM_IDS]) for i in range(0, len(ids), STREAM_IDS)), machine.end()])
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -277,16 +292,16 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         encode = encoder(path)
         return lambda part: [part.column(0), [x.astype("<u4").tobytes() for x in encode.batch(part.column(1))]]
 
-    return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary", make)
+    return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary", make, **ROWS)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the ``text`` that they decode to."""
+    """doc_id, ids and the ``data`` that they decode to: bytes, which are UTF-8 if the ids spell a text."""
 
     def make():
         return lambda part: [part.column(0), part.column(1), [decode(path, np.frombuffer(b or b"", "<u4")) for b in part.column(1).to_pylist()]]
 
-    return map_texts(rows.select("doc_id", "ids"), "doc_id long, ids binary, text string", make)
+    return map_texts(rows.select("doc_id", "ids"), "doc_id long, ids binary, data binary", make, **ROWS)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -301,11 +316,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary, text string", make)
+    return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary, data binary", make, **ROWS)
 
 
 def op7_byte_bpe(spark, sf_dir):
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text of ``documents``."""
     import public_tokenizers
 
     rows = round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return rows.selectExpr("doc_id", "cast(length(ids) / 4 as long) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(cast(text as binary), 256) AS decoded_sha256")
+    return rows.selectExpr("doc_id", "cast(length(ids) / 4 as long) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(data, 256) AS decoded_sha256")

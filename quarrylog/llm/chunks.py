@@ -3,60 +3,50 @@
 A text may be cut before a space if what precedes it is surely not white space,
 or what follows it is not: no piece of the split pattern spans such a place.
 The tokens of a text are then the tokens of its chunks, joined.  Words repeat,
-so what was worked out for a chunk is kept; whole texts never are.
-
-Keys: the word ``w`` stands for the chunk ``" " + w``, where ``w`` begins with no
-white space; ``(c,)`` stands for any other chunk ``c``.
+so what was worked out for a word after a space is kept; whole texts never are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from xxhash import xxh3_64_intdigest
 
 from .vocabulary import pattern
 
-#: Words a worker remembers by a 64-bit hash, and ids it holds for them; beyond that it forgets all and starts again.
-MEMO_WORDS, MEMO_IDS = 1_200_000, 12_000_000
-#: Chunks that it remembers by themselves.
-MEMO_CHUNKS = 150_000
-#: Longer chunks are worked out anew each time.
+#: Bytes that a worker's memo of words may take; at that size only words met again since the last time stay.
+MEMO_BYTES = 32_000_000
+#: Longer words are worked out anew each time.
 MEMO_CHARS = 64
+#: Pieces that are kept by themselves.
+MEMO_PIECES = 100_000
+#: Words that are handed on at once.
+GROUP = 4096
+
+#: Rows, and bytes of text, that are encoded at once: enough that a batch's own words repeat.
+ROWS = {"rows": 2048, "chars": 4_000_000}
 
 #: Python's \S has no character that is white space to the tokenizers.
 _CUT = re.compile(r"(?<=\S)(?= )")
+_POWERS = np.cumprod(np.full(MEMO_CHARS * 4 + 1, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def keys_of(text: str) -> list:
-    """The keys of a text's chunks, in order."""
-    words: list = text.split(" ")
-    if all(w and not w[0].isspace() for w in words[1:]):
-        words[0] = (words[0],)
-        return words
-    return [c[1:] if c[:1] == " " and len(c) > 1 and not c[1].isspace() else (c,) for c in _CUT.split(text)]
-
-
-def chunk_of(key) -> str:
-    return key[0] if isinstance(key, tuple) else " " + key
-
-
-def pieces_of(key) -> list[str]:
+def pieces_of(chunk: str) -> list[str]:
     """The pattern's pieces of a chunk."""
-    if isinstance(key, str):
-        if key.isalpha():
-            return [" " + key]
-        if key[-1] in ".,;:" and key[:-1].isalpha():
-            return [" " + key[:-1], key[-1]]
-    return pattern().findall(chunk_of(key))
+    word = chunk[1:] if chunk[:1] == " " else chunk
+    if word.isalpha():
+        return [chunk]
+    if word[-1:] in tuple(".,;:") and word[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return pattern().findall(chunk)
 
 
 class Pieces:
-    """What ``work`` makes of a piece, kept for short pieces."""
+    """What ``work`` makes of a piece, kept for short pieces: words with and without a stop share theirs."""
 
     def __init__(self, work: Callable[[bytes], object]):
         self.work, self.known = work, {}
@@ -66,106 +56,169 @@ class Pieces:
         if found is None:
             found = self.work(piece.encode())
             if len(piece) <= MEMO_CHARS:
-                if len(self.known) > MEMO_CHUNKS:
+                if len(self.known) > MEMO_PIECES:
                     self.known.clear()
                 self.known[piece] = found
         return found
 
 
-class Encoded:
-    """Ids of texts: ``encode`` gives the ids of each of a list of keys, once for each different word.
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` with these starts and sizes, joined."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    A batch of texts is split at its spaces and its different words numbered by
-    Arrow; words are looked up by hash in sorted arrays, which take a sixth of a
-    dictionary's memory; the ids of all words are gathered at once.
-    """
 
-    def __init__(self, encode: Callable[[list], list]):
-        self.encode = encode
-        self.forget()
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, joined, and where each word begins and the last ends."""
+    words = words.cast(pa.binary())
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return flat[ends[0] : ends[-1]], ends - ends[0]
 
-    def forget(self) -> None:
+
+class Memo:
+    """Ids by word.  Words are found by hash in sorted arrays, which take a sixth of a dictionary's memory; then their bytes are compared."""
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        self.limit = limit
         self.hashes, self.entries = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.firsts: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.n = 0
-
-    def add(self, keys: list) -> np.ndarray:
-        """Numbers of new entries for the keys."""
-        made = self.encode(keys)
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        end, more = int(self.ends[self.n]), int(sizes.sum())
-        while end + more > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.n + len(made) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[end : end + more] = np.fromiter((i for ids in made for i in ids), np.uint32, more)
-        self.ends[self.n + 1 : self.n + 1 + len(made)] = end + np.cumsum(sizes)
-        self.n += len(made)
-        return np.arange(self.n - len(made), self.n)
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """Entries of different words; -1 for those that don't stand for a chunk."""
-        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(words), bool)
-        if len(self.hashes):
-            at = np.minimum(at, len(self.hashes) - 1)
-            known = self.hashes[at] == hashes
-        out = np.full(len(words), -1)
-        out[known] = self.entries[at[known]]
-        new = [(k, w) for k in np.flatnonzero(~known).tolist() if (w := words[k].decode()) and not w[0].isspace()]
-        if new:
-            where = np.array([k for k, _ in new])
-            out[where] = self.add([w for _, w in new])
-            order = np.argsort(hashes[where])
-            at = np.searchsorted(self.hashes, hashes[where][order])
-            self.hashes = np.insert(self.hashes, at, hashes[where][order])
-            self.entries = np.insert(self.entries, at, out[where][order])
+        self.text, self.text_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.empty(0, bool)
+
+    @staticmethod
+    def hashed(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = np.diff(ends)
+        place = np.arange(len(flat)) - np.repeat(ends[:-1], sizes)
+        made = np.add.reduceat((flat + np.uint64(1)) * _POWERS[place], ends[:-1]) if len(sizes) else np.empty(0, np.uint64)
+        return (made ^ made >> np.uint64(29)) * _POWERS[0]
+
+    def find(self, flat: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The words' entries, -1 where there is none."""
+        out = np.full(len(hashes), -1)
+        if not len(self.hashes) or not len(hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        entry, sizes = self.entries[at], np.diff(ends)
+        own = self.text_ends[entry]
+        k = np.flatnonzero((self.hashes[at] == hashes) & (self.text_ends[entry + 1] - own == sizes))
+        if len(k):
+            same = gathered(self.text, own[k], sizes[k]) == gathered(flat, ends[k], sizes[k])
+            k = k[np.logical_and.reduceat(same, np.cumsum(sizes[k]) - sizes[k])]
+            out[k] = entry[k]
+            self.met[entry[k]] = True
         return out
 
-    def first(self, word: str) -> int:
-        if (known := self.firsts.get(word)) is None:
-            if len(self.firsts) > MEMO_CHUNKS // 4:
-                self.firsts.clear()
-            known = int(self.add([(word,)])[0])
-            if len(word) <= MEMO_CHARS:
-                self.firsts[word] = known
-        return known
+    def add(self, flat: np.ndarray, ends: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entries of new words; those before keep theirs until ``shrink``."""
+        entries = len(self.met) + np.arange(len(hashes))
+        self.text, self.text_ends = np.concatenate([self.text, flat]), np.concatenate([self.text_ends, self.text_ends[-1] + ends[1:]])
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.met = np.concatenate([self.met, np.zeros(len(hashes), bool)])
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.entries = np.insert(self.hashes, at, hashes[order]), np.insert(self.entries, at, entries[order])
+        return entries
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.entries, self.text, self.text_ends, self.ids, self.ends, self.met))
+
+    def shrink(self) -> None:
+        """Beyond the limit only words that were met again stay; none, if that leaves too many."""
+        if self.size() <= self.limit:
+            return
+        stay = np.flatnonzero(self.met & (np.diff(self.text_ends) <= MEMO_CHARS))
+        if 2 * len(stay) > len(self.met):
+            stay = stay[:0]
+        number = np.full(len(self.met), -1)
+        number[stay] = np.arange(len(stay))
+        kept = number[self.entries] >= 0
+        self.hashes, self.entries = self.hashes[kept], number[self.entries[kept]]
+        sizes = np.diff(self.text_ends)[stay]
+        self.text, self.text_ends = gathered(self.text, self.text_ends[stay], sizes), np.concatenate([[0], np.cumsum(sizes)])
+        sizes = np.diff(self.ends)[stay]
+        self.ids, self.ends = gathered(self.ids, self.ends[stay], sizes), np.concatenate([[0], np.cumsum(sizes)])
+        self.met = np.zeros(len(stay), bool)
+
+
+class Encoded:
+    """Ids of texts: ``encode`` gives the ids of each of a list of chunks, once for each different word that the memo holds.
+
+    A batch of texts is split at its spaces and its different words numbered by
+    Arrow; the ids of all words are gathered at once.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], before: str = " "):
+        self.encode, self.before, self.memo = encode, before, Memo()
+
+    def made(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids, joined, and how many each has."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(chunks), GROUP):
+            found = self.encode(chunks[i : i + GROUP])
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words after a space: an array, and where in it each word's begin and how many they are."""
+        self.memo.shrink()
+        flat, ends = bytes_of(words)
+        # longer words come after those that the memo keeps
+        short = np.flatnonzero(np.diff(ends) <= MEMO_CHARS)
+        sizes = np.diff(ends)[short]
+        texts, places = gathered(flat, ends[short], sizes), np.concatenate([[0], np.cumsum(sizes)])
+        hashes = self.memo.hashed(texts, places)
+        entry = self.memo.find(texts, places, hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            ids, counts = self.made([self.before + w for w in words.take(pa.array(short[new])).to_pylist()])
+            own = gathered(texts, places[new], sizes[new])
+            entry[new] = self.memo.add(own, np.concatenate([[0], np.cumsum(sizes[new])]), hashes[new], ids, counts)
+        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[short] = self.memo.ends[entry]
+        lengths[short] = self.memo.ends[entry + 1] - starts[short]
+        long = np.flatnonzero(np.diff(ends) > MEMO_CHARS)
+        ids = self.memo.ids
+        if len(long):
+            more, lengths[long] = self.made([self.before + w for w in words.take(pa.array(long)).to_pylist()])
+            starts[long] = len(ids) + np.cumsum(lengths[long]) - lengths[long]
+            ids = np.concatenate([ids, more])
+        return ids, starts, lengths
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null is empty."""
-        if self.n > MEMO_WORDS or self.ends[self.n] > MEMO_IDS:
-            self.forget()
-        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy()
         bounds = bounds - bounds[0]
         numbered = split.flatten().dictionary_encode()
-        at, words = numbered.indices.to_numpy(), numbered.dictionary.cast(pa.binary()).to_pylist()
-        begin = bounds[:-1]
+        at, words = numbered.indices.to_numpy(), numbered.dictionary
+        begin, n = bounds[:-1], len(words)
         rest = np.ones(len(at), bool)
         rest[begin] = False
-        used = np.zeros(len(words), bool)
+        used = np.zeros(n, bool)
         used[at[rest]] = True
-        number = np.full(len(words), -1)
-        where = np.flatnonzero(used)
-        if len(where):
-            number[where] = self.words([words[k] for k in where.tolist()])
-        entry = number[at]
-        entry[begin] = [self.first(words[k].decode()) for k in at[begin].tolist()]
-        hard = np.flatnonzero(np.logical_or.reduceat(entry < 0, begin)) if len(begin) else []
-        entry = np.maximum(entry, 0)
-        start = self.ends[entry]
-        sizes = self.ends[entry + 1] - start
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(start - ends + sizes, sizes) + np.arange(total)]
-        cuts = np.concatenate([[0], ends])[bounds].tolist()
-        out = [ids[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
-        for k in hard:
-            made = self.encode(keys_of(texts[int(k)].as_py()))
-            out[k] = np.fromiter((i for ids in made for i in ids), np.uint32)
+        # a word that is empty or begins with white space stands for no chunk
+        odd = pc.or_(pc.equal(words, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1))).to_numpy(zero_copy_only=False)
+        odd |= pc.match_substring_regex(words, r"^[\x1c-\x1f\x{85}]").to_numpy(zero_copy_only=False)
+        where = np.flatnonzero(used & ~odd)
+        ids, word_starts, word_sizes = self.words(words.take(pa.array(where)))
+        # the words that begin texts have no space before them
+        first, opening = np.unique(at[begin], return_inverse=True)
+        more, sizes = self.made(words.take(pa.array(first)).to_pylist())
+        starts, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        starts[where], counts[where] = word_starts, word_sizes
+        start, size = starts[at], counts[at]
+        start[begin], size[begin] = (len(ids) + np.cumsum(sizes) - sizes)[opening], sizes[opening]
+        every = gathered(np.concatenate([ids, more]), start, size)
+        cuts = np.concatenate([[0], np.cumsum(size)])[bounds].tolist()
+        out = [every[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        for k in np.flatnonzero(np.logical_or.reduceat(odd[at] & rest, begin)).tolist():
+            out[k] = self.made(_CUT.split(texts[k].as_py()))[0]
         return out
 
     def __call__(self, text: str) -> np.ndarray:

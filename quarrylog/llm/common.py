@@ -8,7 +8,6 @@ hold a large part of all rows go through :func:`lookup`.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,36 +25,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one only where the session names none."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; in local mode the warehouse stands in for it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and spark.sparkContext.master.startswith("local["):
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarrylog"
     if not at:
-        at = spark.conf.get("quarrylog.scratch", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="quarrylog-")
-        spark.conf.set("quarrylog.scratch", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return at.rstrip("/")
 
 
 def saved(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and lost executors cost nothing.
 
-    Tables in ``done``, themselves made here, are deleted then; and Spark is told
-    to let go of the shuffle files of plans that nothing refers to any more.
+    Tables in ``done``, themselves made here, are deleted then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for old in done:
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    forget(*done)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` made and nothing reads any more, and tell Spark to let go of shuffle files that nothing refers to."""
+    for old in tables:
+        spark = old.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(old._quarry_path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if done:
+    if tables:
         gc.collect()
         spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
 
 
 def hot_keys(rows: DataFrame, key: str) -> list:

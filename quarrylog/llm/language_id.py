@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .chunks import MEMO_CHARS, MEMO_CHUNKS
 from .common import documents, saved
 
 TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 400, 5000, 3
+#: Runs of letters that a worker keeps; longer runs aren't learned from.
+MEMO_CHUNKS, MEMO_CHARS = 150_000, 64
 #: Longer pieces are left out; a letter that no piece begins with costs FLOOR in every language.
 PIECE_CHARS, FLOOR = 6, 1e-7
 #: Longer runs of letters are scored one at a time; HASH makes one number of a piece's characters.

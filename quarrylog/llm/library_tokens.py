@@ -1,4 +1,4 @@
-"""Token ids as the tokenizers library gives them, each different chunk encoded once a worker."""
+"""Token ids as the tokenizers library gives them, each different word encoded once as long as it is remembered."""
 
 from __future__ import annotations
 
@@ -6,57 +6,53 @@ from functools import cache
 
 import numpy as np
 
-from .chunks import MEMO_CHUNKS, Encoded, chunk_of
-from .vocabulary import tokenizer
+from .chunks import Encoded
+from .vocabulary import byte_chars, tokenizer
+
+STOPS = tuple(".,;:")
 
 
 def library_ids(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def without_stop(word: str) -> tuple[str, str]:
-    """A word of letters and the full stop, comma or colon after it, which no vocabulary here joins."""
-    return (word[:-1], word[-1]) if word[-1:] in tuple(".,;:") and word[:-1].isalpha() else (word, "")
-
-
-def by_stems(path: str, before: str, words: list[str], stems: dict[str, list[int]]) -> list[list[int]]:
-    """Ids of words, each after ``before``; ``stems`` keeps the library's for words without their stops."""
-    split = list(map(without_stop, words))
-    if len(stems) > MEMO_CHUNKS:
-        stems.clear()
-    wanted = dict.fromkeys(before + a for a, _ in split)
-    wanted.update(dict.fromkeys(z for _, z in split if z))
-    new = [x for x in wanted if x not in stems]
-    made = dict(zip(new, library_ids(path, new), strict=True))
-    found = {x: made[x] if x in made else stems[x] for x in wanted}
-    stems.update((k, v) for k, v in made.items() if len(k) <= 64)
-    return [found[before + a] + found[z] if z else found[before + a] for a, z in split]
+class Words:
+    """Ids of chunks.  ASCII words, with a stop or without, are whole pieces and go to the library's model at once; all else goes through its whole pipeline."""
+
+    def __init__(self, path: str, before: str, lower: bool):
+        self.path, self.before, self.lower = path, before, lower
+        self.mapped = "".join(byte_chars()[b] for b in before.encode())
+        self.model = tokenizer(path).model
+        self.stops = {x: tuple(library_ids(path, [x])[0]) for x in STOPS}
+
+    def __call__(self, chunks: list[str]) -> list[list[int]]:
+        out, rest, skip, mapped, tokenize = [], [], len(self.before), self.mapped, self.model.tokenize
+        for k, chunk in enumerate(chunks):
+            word, stop = chunk[skip:], ()
+            if chunk[:skip] == self.before and word.isascii():
+                if word[-1:] in STOPS:
+                    word, stop = word[:-1], self.stops[word[-1]]
+                if word.isalpha():
+                    out.append([*[t.id for t in tokenize(mapped + (word.lower() if self.lower else word))], *stop])
+                    continue
+            out.append([])
+            rest.append(k)
+        if rest:
+            for k, ids in zip(rest, library_ids(self.path, [chunks[k] for k in rest]), strict=True):
+                out[k] = ids
+        return out
 
 
 @cache
 def byte_level(path: str) -> Encoded:
     """For byte-level vocabularies, whose pieces keep the space before a word."""
-    stems: dict[str, list[int]] = {}
-
-    def encode(keys: list) -> list[list[int]]:
-        words = [k for k in keys if isinstance(k, str)]
-        rest = [chunk_of(k) for k in keys if not isinstance(k, str)]
-        known, others = iter(by_stems(path, " ", words, stems)), iter(library_ids(path, rest))
-        return [next(known) if isinstance(k, str) else next(others) for k in keys]
-
-    return Encoded(encode)
+    return Encoded(Words(path, " ", False))
 
 
 @cache
 def word_level(path: str) -> Encoded:
-    """For vocabularies of lower-case words that drop white space.
-
-    ASCII words are lower-cased before the library sees them; it does the same.
-    Words that may hold an added token's string stay as they are.
-    """
-    stems: dict[str, list[int]] = {}
-    lower = lambda w: w.lower() if w.isascii() and "<|" not in w else w
-    return Encoded(lambda keys: by_stems(path, "", [lower(k if isinstance(k, str) else k[0]) for k in keys], stems))
+    """For vocabularies of lower-case words that drop white space."""
+    return Encoded(Words(path, "", True), "")
 
 
 def batch_ids(encoder: Encoded, texts, end: int) -> list[np.ndarray]:

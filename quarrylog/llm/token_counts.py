@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .chunks import Encoded, Pieces, pieces_of
+from .chunks import ROWS, Encoded, Pieces, pieces_of
 from .common import documents
 from .vocabulary import byte_chars, json_model
 
@@ -33,18 +33,21 @@ class Counter:
     """Counts tokens of texts under the merges of one vocabulary file."""
 
     def __init__(self, path: str):
-        vocabulary, merges, added = json_model(path)
-        self.pairs = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.symbols = [vocabulary[byte_chars()[b]] for b in range(256)]
+        _, merges, added = json_model(path)
+        # symbols are numbered by byte, then in the order of the merges that make them
+        number = {byte_chars()[b]: b for b in range(256)}
+        for a, b in merges:
+            number.setdefault(a + b, len(number))
+        self.pairs = {(number[a], number[b]): (rank, number[a + b]) for rank, (a, b) in enumerate(merges)}
         self.added = re.compile("|".join(re.escape(x) for x in added)) if added else None
         self.piece = Pieces(self.merge)
         #: a chunk's one number is its count
-        self.chunks = Encoded(lambda keys: [[sum(map(self.piece, pieces_of(key)))] for key in keys])
+        self.chunks = Encoded(lambda chunks: [[sum(map(self.piece, pieces_of(chunk)))] for chunk in chunks])
 
     def merge(self, piece: bytes) -> int:
         """Symbols left of ``piece``: its bytes minus the merges."""
         n, pairs = len(piece), self.pairs
-        symbol = [self.symbols[b] for b in piece]
+        symbol = list(piece)
         heap = [(pair[0], i, pair[1], symbol[i], symbol[i + 1]) for i in range(n - 1) if (pair := pairs.get((symbol[i], symbol[i + 1])))]
         if not heap:
             return n
@@ -98,7 +101,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
         return run
 
-    return map_texts(docs.select("doc_id", F.col("text")), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", make)
+    return map_texts(docs.select("doc_id", F.col("text")), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", make, **ROWS)
 
 
 def op4_token_counts(spark, sf_dir):
