@@ -10,14 +10,15 @@ A file is a Parquet directory of pages (documents in ascending doc_id order)
 beside a Parquet table of the ids by rank.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come
-first; rows that share a doc_id follow one another in the order of their ids;
-an empty table gives a file without pages.
+first; rows that share a doc_id, repeated ones too, follow one another in the
+order of their texts; an empty table gives a file without pages; extra columns
+are ignored, whatever their names; a very long text is encoded whole, in a page
+of its own if it fills one.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import map_texts, schema_of
-from .common import documents, saved, shared_dir
+from .arrow import schema_of, slices
+from .chunks import ROWS
+from .common import documents, forget, saved, shared_dir
 from .library_tokens import batch_ids, word_level
 
 #: Documents and ids that close a page.
@@ -50,118 +53,118 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     sizes = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     at = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
     values = np.zeros(n, np.uint32)
     for k in range(int(sizes.max(initial=0))):
         values |= np.where(sizes > k, raw[at + k].astype(np.uint32) << np.uint32(8 * k), np.uint32(0))
     return values
 
 
+PLAIN = "part int, before long, doc_ids array<long>, sizes array<long>, width int, ids binary"
+PAGES = "part int, before long, doc_ids array<long>, sizes array<long>, control binary, data binary"
+
+
 def encoded(docs: DataFrame, encoder: Callable[[str], object], path: str, end: int) -> DataFrame:
-    """doc_id and ids as little-endian unsigned 32-bit integers."""
+    """PLAIN pages of ids, in ascending doc_id order: by part, then by the ids before in the part.
+
+    Texts are sorted before they are encoded, so ids are never shuffled.
+    """
+    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+
+    def run(batches):
+        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        docs, ids, held = [], [], 0
+
+        def page():
+            nonlocal before, held
+            every = np.concatenate(ids)
+            width = 2 if int(every.max()) < 1 << 16 else 4
+            out = pa.RecordBatch.from_pylist([{"part": part, "before": before, "doc_ids": docs, "sizes": list(map(len, ids)), "width": width, "ids": every.astype(f"<u{width}").tobytes()}], to_arrow_schema(schema_of(PLAIN)))
+            before, held = before + held, 0
+            docs.clear()
+            ids.clear()
+            return out
 
-    def make():
-        encode = encoder(path)
+        for batch in slices(batches, 1, **ROWS):
+            for d, x in zip(batch.column(0).to_pylist(), batch_ids(encode, batch.column(1), end), strict=True):
+                docs.append(d)
+                ids.append(x)
+                held += len(x)
+                if len(docs) >= PAGE_DOCS or held >= PAGE_IDS:
+                    yield page()
+        if docs:
+            yield page()
 
-        def run(part):
-            return [part.column(0), [x.tobytes() for x in batch_ids(encode, part.column(1), end)]]
+    return ordered.mapInArrow(run, schema_of(PLAIN))
 
-        return run
 
-    return map_texts(docs.select("doc_id", "text"), "doc_id long, ids binary", make)
+def plain_ids(width: int, raw) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}")
 
 
-def frequencies(rows: DataFrame) -> DataFrame:
+def frequencies(pages: DataFrame) -> DataFrame:
     """id and its count over all documents; a task sends each id once."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for b in batch.column(0):
-                n = np.bincount(np.frombuffer(b.as_buffer(), "<u4"))
+            for width, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = np.bincount(plain_ids(width, b.as_buffer()))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return rows.select("ids").mapInArrow(run, schema_of("id long, n long")).groupBy("id").agg(F.sum("n").alias("n"))
+    return pages.select("width", "ids").mapInArrow(run, schema_of("id long, n long")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Write ``rows`` (doc_id, ids) as a file at ``path``; ``rows`` is read three times, so it should be a table."""
-    spark = rows.sparkSession
-    counts = frequencies(rows).collect()  # as many rows as the vocabulary has ids, at most
+def write(pages: DataFrame, path: str) -> None:
+    """Write PLAIN pages as a file at ``path``; they are read twice, so they should be a table."""
+    spark = pages.sparkSession
+    counts = frequencies(pages).collect()  # as many rows as the vocabulary has ids, at most
     order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
     spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     given = spark.sparkContext.broadcast(rank)
 
-    def pages(batches):
-        part, before = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        docs: list = []
-
-        def page():
-            nonlocal before
-            sizes = [len(x) for x in ids]
-            control, data = pack(given.value[np.concatenate(ids)])
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                names=["part", "before", "doc_ids", "sizes", "control", "data"],
-            )
-            before += sum(sizes)
-            ids.clear()
-            docs.clear()
-            return out
-
+    def run(batches):
         for batch in batches:
-            for d, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(d)
-                ids.append(np.frombuffer(b.as_buffer(), "<u4"))
-                if len(docs) >= PAGE_DOCS or sum(map(len, ids[-1:])) >= PAGE_IDS or len(docs) % 16 == 0 and sum(map(len, ids)) >= PAGE_IDS:
-                    yield page()
-        if docs:
-            yield page()
+            packed = [pack(given.value[plain_ids(w, b.as_buffer())]) for w, b in zip(batch.column(4).to_pylist(), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], schema=to_arrow_schema(schema_of(PAGES)))
 
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(pages, schema_of("part int, before long, doc_ids array<long>, sizes array<long>, control binary, data binary")).write.parquet(f"{path}/pages")
+    pages.mapInArrow(run, schema_of(PAGES)).write.parquet(f"{path}/pages")
 
 
 def read(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids of the file at ``path``."""
-    order = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
+    order = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
     table = spark.sparkContext.broadcast(order)
-    pages = spark.read.schema("part int, before long, doc_ids array<long>, sizes array<long>, control binary, data binary").parquet(f"{path}/pages")
+    pages = spark.read.schema(PAGES).parquet(f"{path}/pages")
     # one row for each writing task
     sizes = sorted((r.part, r.n) for r in pages.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect())
     starts = dict(zip([p for p, _ in sizes], np.cumsum([0] + [n for _, n in sizes]).tolist(), strict=False))
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = table.value[unpack(row["control"], row["data"], sum(row["sizes"]))].astype("<u4")
-                ends = np.cumsum(row["sizes"])
-                first = ends - row["sizes"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(first + starts[row["part"]] + row["before"], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())],
-                    names=["doc_id", "start", "ids"],
-                )
+            for k in range(batch.num_rows):
+                part, before, docs, counts, control, data = (c[k] for c in batch.columns)
+                counts = counts.values.to_numpy()
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                ids = table.value[unpack(control.as_buffer(), data.as_buffer(), int(ends[-1]))]
+                own = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([docs.values, pa.array(ends[:-1] + starts[part.as_py()] + before.as_py(), pa.int64()), own], names=["doc_id", "start", "ids"])
 
     return pages.mapInArrow(run, schema_of("doc_id long, start long, ids binary"))
 
 
 def op3_token_file(spark, sf_dir):
+    """doc_id, start, n_tokens and ids_crc32 of every whole text of ``documents``, read back from its file."""
     import public_tokenizers
 
-    rows = saved(encoded(documents(spark, sf_dir), word_level, public_tokenizers.path("word_bpe_49k.json"), 2), "token-ids")
+    pages = saved(encoded(documents(spark, sf_dir), word_level, public_tokenizers.path("word_bpe_49k.json"), 2), "token-ids")
     path = f"{shared_dir(spark)}/token-file-{uuid.uuid4().hex}"
-    write(rows, path)
-
-    def digest(batches):
-        for batch in batches:
-            ids = [b.as_buffer() for b in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.size // 4 for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read(spark, path).mapInArrow(digest, schema_of("doc_id long, start long, n_tokens long, ids_crc32 long"))
+    write(pages, path)
+    forget(pages)
+    return read(spark, path).selectExpr("doc_id", "start", "cast(length(ids) div 4 as long) AS n_tokens", "crc32(ids) AS ids_crc32")

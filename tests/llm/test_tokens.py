@@ -6,9 +6,10 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylog.llm import byte_bpe, library_tokens, packing, token_counts, token_file
+from quarrylog.llm import byte_bpe, chunks, library_tokens, packing, token_counts, token_file
 from quarrylog.llm.common import saved, shared_dir
 
 JSON, WORD, MULTI = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -27,15 +28,30 @@ def ids_of(tokenizer, text):
 def test_chunked_ids_are_the_libraries(texts):
     every = [t for t in texts if t is not None] + strange()
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.ranks(MULTI), special_tokens={})
+    byte, word = Tokenizer.from_file(JSON), Tokenizer.from_file(WORD)
     for encoder, want in (
-        (library_tokens.byte_level(JSON), [ids_of(Tokenizer.from_file(JSON), t) for t in every]),
-        (library_tokens.word_level(WORD), [ids_of(Tokenizer.from_file(WORD), t) for t in every]),
+        (library_tokens.byte_level(JSON), [ids_of(byte, t) for t in every]),
+        (library_tokens.word_level(WORD), [ids_of(word, t) for t in every]),
         (byte_bpe.encoder(MULTI), [own.encode_ordinary(t) for t in every]),
     ):
         assert [x.tolist() for x in encoder.batch(pa.array(every))] == want
         assert [encoder(t).tolist() for t in every[:50]] == want[:50]
     for t in every:
-        assert byte_bpe.decode(MULTI, byte_bpe.encode(MULTI, t)) == t
+        assert byte_bpe.decode(MULTI, byte_bpe.encode(MULTI, t)) == t.encode()
+
+
+def test_memo_forgets_and_compares_bytes(monkeypatch):
+    encoder = chunks.Encoded(library_tokens.Words(JSON, " ", False))
+    encoder.memo.limit = 20_000
+    library, every = Tokenizer.from_file(JSON), strange(300)
+    for k in range(0, len(every), 20):
+        assert [x.tolist() for x in encoder.batch(pa.array(every[k : k + 20]))] == [ids_of(library, t) for t in every[k : k + 20]]
+    assert encoder.memo.size() < 60_000
+    # all words have one hash
+    monkeypatch.setattr(chunks.Memo, "hashed", staticmethod(lambda flat, ends: np.zeros(len(ends) - 1, np.uint64)))
+    encoder = chunks.Encoded(library_tokens.Words(JSON, " ", False))
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.batch(pa.array(every))] == [ids_of(library, t) for t in every]
 
 
 def test_decoder_streams_characters_as_they_become_whole():
@@ -43,8 +59,29 @@ def test_decoder_streams_characters_as_they_become_whole():
     machine.reset()
     raw = "a😀é".encode()
     single = [byte_bpe.ranks(MULTI)[raw[i : i + 1]] for i in range(len(raw))]
-    assert [machine.feed(np.array([i])) for i in single] == ["a", "", "", "", "😀", "", "é"]
-    assert machine.feed(np.array(single[1:3])) == "" and machine.end() == "�"
+    assert [machine.feed(np.array([i])).decode() for i in single] == ["a", "", "", "", "😀", "", "é"]
+    assert machine.feed(np.array(single[1:3])) == b"" and machine.end() == raw[1:3]
+    rnd = random.Random(1)
+    for _ in range(300):
+        raw = b"".join(rnd.choice(["é".encode(), "😀".encode(), b"a", b"\xe2", b"\xff", b"\xf0\x9f", b"\x80"]) for _ in range(12))
+        ids, out, at = [byte_bpe.ranks(MULTI)[raw[i : i + 1]] for i in range(len(raw))], [], 0
+        while at < len(ids):
+            n = rnd.randint(1, 5)
+            out.append(machine.feed(np.array(ids[at : at + n])))
+            at += n
+        out.append(machine.end())
+        # malformed bytes pass, and no character is cut
+        assert b"".join(out) == raw and "".join(x.decode("utf-8", "replace") for x in out) == raw.decode("utf-8", "replace")
+
+
+def test_round_trip(docs, nothing):
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.ranks(MULTI), special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = byte_bpe.round_trip(docs, MULTI).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(texts[r.doc_id]) and bytes(r.data).decode() == texts[r.doc_id]
+    assert byte_bpe.decoded(byte_bpe.encoded(docs, MULTI), MULTI).count() == len(rows) and byte_bpe.round_trip(nothing, MULTI).count() == 0
 
 
 def test_heap_counts(docs, nothing):
@@ -65,7 +102,7 @@ def test_token_file(spark, docs, nothing):
     library = Tokenizer.from_file(WORD)
     for d in (docs, nothing):
         path = f"{shared_dir(spark)}/file-{d.count()}"
-        token_file.write(saved(token_file.encoded(d, library_tokens.word_level, WORD, 2), "ids"), path)
+        token_file.write(saved(token_file.encoded(d.withColumn("width", F.lit(1)), library_tokens.word_level, WORD, 2), "ids"), path)
         rows = token_file.read(spark, path).collect()
         rows.sort(key=lambda r: r.start)
         assert len(rows) == d.count()
