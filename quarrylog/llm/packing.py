@@ -11,7 +11,10 @@ Uses are whole; the pieces of configurations that are not full enough are packed
 best fit, longest first.
 
 Defined results: a null or empty text is the end id alone; a null doc_id passes
-through; repeated rows are packed each; an empty table gives no pieces.
+through; repeated rows are packed each; an empty table gives no pieces; extra
+columns are ignored, whatever their names; a very long text is cut into whole
+sequences after a first piece of what is left over; pieces of equal length are
+placed in the order of the tasks that made them.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
+from .chunks import ROWS
 from .common import documents, saved
 from .library_tokens import batch_ids, byte_level
 
@@ -206,7 +210,7 @@ def pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -
 
         return run
 
-    return map_texts(docs.select("doc_id", "text"), f"{PIECES}, task int, nth long", make)
+    return map_texts(docs.select("doc_id", "text"), f"{PIECES}, task int, nth long", make, **ROWS)
 
 
 def packed(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -222,7 +226,8 @@ def packed(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -
     given = slots(plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("task", "length", "first")
-    ranked = rows.join(firsts, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("k"))
+    # as many counts as tasks have lengths: too many to broadcast as the corpus grows
+    ranked = rows.join(firsts.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("k"))
     broadcast = docs.sparkSession.sparkContext.broadcast(given)
 
     def make():
@@ -242,6 +247,7 @@ def packed(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -
 
 
 def op5_best_fit_packing(spark, sf_dir):
+    """The pieces of every whole text of ``documents`` with their places."""
     import public_tokenizers
 
     return packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
