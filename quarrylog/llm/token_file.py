@@ -70,8 +70,10 @@ def encoded(docs: DataFrame, encoder: Callable[[str], object], path: str, end: i
     Texts are sorted before they are encoded, so ids are never shuffled.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    schema = schema_of(PLAIN)
 
     def run(batches):
+        arrow = to_arrow_schema(schema)
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         docs, ids, held = [], [], 0
 
@@ -79,7 +81,7 @@ def encoded(docs: DataFrame, encoder: Callable[[str], object], path: str, end: i
             nonlocal before, held
             every = np.concatenate(ids)
             width = 2 if int(every.max()) < 1 << 16 else 4
-            out = pa.RecordBatch.from_pylist([{"part": part, "before": before, "doc_ids": docs, "sizes": list(map(len, ids)), "width": width, "ids": every.astype(f"<u{width}").tobytes()}], to_arrow_schema(schema_of(PLAIN)))
+            out = pa.RecordBatch.from_pylist([{"part": part, "before": before, "doc_ids": docs, "sizes": list(map(len, ids)), "width": width, "ids": every.astype(f"<u{width}").tobytes()}], arrow)
             before, held = before + held, 0
             docs.clear()
             ids.clear()
@@ -95,7 +97,7 @@ def encoded(docs: DataFrame, encoder: Callable[[str], object], path: str, end: i
         if docs:
             yield page()
 
-    return ordered.mapInArrow(run, schema_of(PLAIN))
+    return ordered.mapInArrow(run, schema)
 
 
 def plain_ids(width: int, raw) -> np.ndarray:
@@ -127,14 +129,15 @@ def write(pages: DataFrame, path: str) -> None:
     spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    given = spark.sparkContext.broadcast(rank)
+    given, schema = spark.sparkContext.broadcast(rank), schema_of(PAGES)
 
     def run(batches):
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             packed = [pack(given.value[plain_ids(w, b.as_buffer())]) for w, b in zip(batch.column(4).to_pylist(), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], schema=to_arrow_schema(schema_of(PAGES)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], schema=arrow)
 
-    pages.mapInArrow(run, schema_of(PAGES)).write.parquet(f"{path}/pages")
+    pages.mapInArrow(run, schema).write.parquet(f"{path}/pages")
 
 
 def read(spark, path: str) -> DataFrame:
