@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, saved
+from .common import forget, lookup, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(ends.join(tied, "u").where("v > p").select(F.col("v").alias("u"), F.col("p").alias("v")).distinct(), "edges")
     whole = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     # a node that was tied is itself a link of the rest wherever it is someone's neighbour
-    edges = saved(edges.unionByName(tied.join(edges.select(F.explode(F.array("u", "v")).alias("u")).distinct().unionByName(tied.select(F.col("p").alias("u"))).distinct(), "u").select("u", F.col("p").alias("v"))).distinct(), "edges")
+    first = edges
+    edges = saved(edges.unionByName(tied.join(edges.select(F.explode(F.array("u", "v")).alias("u")).distinct().unionByName(tied.select(F.col("p").alias("u"))).distinct(), "u").select("u", F.col("p").alias("v"))).distinct(), "edges", first)
     state = whole(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,12 +32,14 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = saved(small, "small-star")
+        edges = saved(small, "small-star", edges, large)
         if (now := whole(edges)) == state:
             break
         state = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    roots = saved(roots.select(F.col("u").alias("p"), "root"), "roots")
+    roots = saved(roots.select(F.col("u").alias("p"), "root"), "roots", edges)
     # every node that is someone's lesser neighbour stands for itself too; the least root found for a node is right
     nodes = tied.select(F.col("u").alias("node"), "p").unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("p")).distinct())
-    return saved(lookup(nodes, roots, "p", "left").groupBy("node").agg(F.min(F.coalesce("root", "p")).alias("root")), "components")
+    found = saved(lookup(nodes, roots, "p", "left").groupBy("node").agg(F.min(F.coalesce("root", "p")).alias("root")), "components")
+    forget(ends, tied, roots)
+    return found

@@ -1,23 +1,27 @@
 """N-gram Jaccard join as a metric-space join.
 
 The Jaccard distance of shingle sets is a metric, and a link is a distance of
-at most EPSILON.  Sets of unrelated texts are all at distance one from each
-other, where no pivot tells them apart, so the space is first cut by pivots of
-one shingle each: a set lies in the regions of the first shingles of its own in
-one fixed order.  Sets within EPSILON share at least e(n) + 1 of them (see
-``prefix``), so a set that shares fewer with all others is dropped, as is a
-shingle that only one set is left with.  Only the sets of what remains are
-gathered, each once.  Among them shingles are counted exactly and put in a
-second order, rarest first; passages that many texts quote then name no regions
-unless they are most of a text.  What is left falls into blocks.
-
-Inside a block pivots are sets.  Each set goes to its nearest pivot's Voronoi
-region and, if d(x, p) <= d(x, home) + 2 EPSILON, to the regions that a set
-within EPSILON of it could call home; regions are joined recursively and
-exactly.  Sets that are already in one component are not compared.  Blocks too
-large for a task are measured against their pivots in parts; then only the sets
-outside the largest component are compared with the others, tile by tile, where
-triangle-inequality windows on the pivots' distances leave a pair possible.
+at most EPSILON.  Texts of a corpus are nearly all at distance one from each
+other, where no pivot tells them apart and every window holds everything.  So
+first the sets that can't have a link are put aside, and the others are dealt
+into blocks that are more than EPSILON apart, both by exact bounds on shared
+shingles (``prefix``); README.md has the shares.  That finds no pair: every link
+is the measured distance between a pivot and a set.
+
+A block is joined by pivots.  Pivots are sets far from each other, outside the
+block's largest component; their distances to all sets of the block are
+measured, which settles all their own links, so they are done.  Each other set
+goes to its nearest pivot's Voronoi region, or to the outer region if that is
+farther than 2 EPSILON.  By the triangle inequality a set linked with x, whose
+home is p, has d(y, p) <= 3 EPSILON and d(y, p) <= d(y, home) + 2 EPSILON, so
+sets in that window are copied to p's region; the outer region needs no copies,
+since a pair with an inner set meets in that set's region.  Regions are joined
+recursively and exactly until all of a region's sets are in
+one component; regions that overlap so much that together they cost fewer
+distances are joined together.  A block with more shingles than a task holds is
+divided the same way by tasks that measure a part of it each; regions that
+don't get smaller so are compared part by part, where triangle-inequality
+windows on the pivots' distances leave a pair possible.
 
 Equal sets are one class from the first.  Shingles are 64-bit hashes, classes
 128-bit hashes of the sorted shingles.
@@ -25,11 +29,15 @@ Equal sets are one class from the first.  Shingles are 64-bit hashes, classes
 Defined results: a null, empty or blank text has no shingles and is linked with
 nothing; a row with a null doc_id is in the component of an equal text, or in
 none (null), and links nothing; rows that share a doc_id are linked through it
-only if their texts are; an empty table gives an empty result.
+only if their texts are; repeated rows have equal results; sets at exactly the
+threshold are linked; an empty table gives an empty result; extra columns are
+ignored, whatever their names; a very long text is one set, whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,18 +45,20 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .arrow import map_texts, schema_of
-from .common import HOT_LEAST, documents, lookup, saved
+from .common import HOT_LEAST, documents, forget, lookup, saved
 from .components import components
 
 WORDS = 5
 #: A link: 100 * |x & y| >= PERCENT * |x | y|.
 PERCENT = 75
 EPSILON = 1 - PERCENT / 100
-#: Sets that one task joins by itself; a larger block is joined in parts of as many.
-BLOCK = 256
-LEAF, PIVOTS = 12, 4
+#: Shingles of a block that one task holds; a larger block is measured in parts of as many.
+BLOCK = 400_000
+PIVOTS = 4
 #: Shingles in more than one class of COMMON come last in the order; at most COMMON times the mean set are.
 COMMON, MAX_COMMON = 1000, 1 << 20
+#: Bits of the map that keeps most texts without a possible link from being shuffled; a full map only keeps none.
+BITS = 1 << 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,22 +105,6 @@ def prefix(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 + extra(n)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    return 100 * (both := common(a, b)) >= PERCENT * (len(a) + len(b) - both)
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    both = common(a, b)
-    return 1 - both / (len(a) + len(b) - both)
-
-
 class Forest:
     """Components of a few sets by number."""
 
@@ -127,63 +121,80 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def join_block(sets: list[np.ndarray]) -> list[int]:
-    """The component of each set, as the number of its first member."""
-    forest = Forest(len(sets))
-    work = [list(range(len(sets)))]
+class Block:
+    """Sets by number, with their shingles in one order, so that a set's distances to all others are looked up at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array(list(map(len, sets)), np.int64)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def measured(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of ``x`` to each set, and whether they are linked."""
+        lo, hi = np.searchsorted(self.tokens, x, "left"), np.searchsorted(self.tokens, x, "right")
+        n = hi - lo
+        both = np.bincount(self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(self.sets))
+        union = len(x) + self.sizes - both
+        return 1 - both / union, 100 * both >= PERCENT * union
+
+
+def join_block(sets: list[np.ndarray], tally: Counter | None = None) -> list[int]:
+    """The component of each set, as the number of its first member; ``tally`` counts regions, divisions and distances."""
+    forest, block, work = Forest(len(sets)), Block(sets), [np.arange(len(sets))]
+    tally = Counter() if tally is None else tally
     while work:
         items = work.pop()
-        if len({forest.root(i) for i in items}) == 1:
+        roots = np.array([forest.root(i) for i in items.tolist()])
+        names, counts = np.unique(roots, return_counts=True)
+        if len(names) == 1:
             continue
-        regions = voronoi(sets, items, forest) if len(items) > LEAF else None
-        if regions is None:
-            leaf(sets, items, forest)
-        else:
-            work += regions
+        # what is in the largest component already is no pivot
+        outside = items[roots != names[counts.argmax()]] if counts.max() > 1 else items
+        pivots, rows = [int(outside[0])], []
+        while True:
+            d, near = block.measured(sets[pivots[-1]])
+            rows.append(d[items])
+            for i in items[near[items]].tolist():
+                forest.join(pivots[-1], i)
+            far = np.min([r[np.isin(items, outside)] for r in rows], axis=0)
+            if len(rows) == PIVOTS or far.max() <= EPSILON:
+                break
+            pivots.append(int(outside[far.argmax()]))
+        tally.update(regions=1, distances=len(rows) * len(items))
+        rest = ~np.isin(items, pivots)
+        parts = divided(np.array(rows)[:, rest])
+        tally.update(divisions=len(parts) > 1)
+        work += [items[rest][part] for part in parts if part.sum() > 1]
     return [forest.root(i) for i in range(len(sets))]
 
 
-def leaf(sets: list[np.ndarray], items: list[int], forest: Forest) -> None:
-    items = sorted(items, key=lambda i: len(sets[i]))
-    for k, i in enumerate(items):
-        for j in items[k + 1 :]:
-            if 100 * len(sets[i]) < PERCENT * len(sets[j]):
-                break
-            if forest.root(i) != forest.root(j) and linked(sets[i], sets[j]):
-                forest.join(i, j)
-
-
-def voronoi(sets: list[np.ndarray], items: list[int], forest: Forest) -> list[list[int]] | None:
-    """Regions with their boundaries around pivots far from each other; None if that divides too little."""
-    pivots, far = [items[0]], np.full(len(items), np.inf)
-    rows = []
-    for _ in range(PIVOTS):
-        p = pivots[-1]
-        row = np.array([distance(sets[p], sets[i]) for i in items])
-        for i, d in zip(items, row.tolist(), strict=True):
-            if d <= EPSILON + 1e-9 and i != p and linked(sets[p], sets[i]):
-                forest.join(p, i)
-        rows.append(row)
-        far = np.minimum(far, row)
-        if far.max() <= EPSILON:
-            break
-        pivots.append(items[int(far.argmax())])
-    d = np.array(rows)
-    home = d.argmin(axis=0)
-    nearest = d.min(axis=0)
-    out = []
-    for k in range(len(d)):
-        inside = (home == k) | (d[k] <= nearest + 2 * EPSILON + 1e-9)
-        if not (home == k).any():
+def divided(d: np.ndarray) -> list[np.ndarray]:
+    """Voronoi regions with their boundaries, as masks, of the distances from pivots (rows) to sets (columns); the outer region comes last."""
+    if not d.shape[1]:
+        return []
+    nearest, slack = d.min(axis=0), 1e-9
+    inner = nearest <= 2 * EPSILON + slack
+    homes = np.unique(d[:, inner].argmin(axis=0)) if inner.any() else []
+    out = [d[k] <= np.minimum(3 * EPSILON, nearest + 2 * EPSILON) + slack for k in homes]
+    if not inner.all():
+        out.append(~inner)
+    cost = lambda m: int(m.sum()) ** 2
+    k = 0
+    while k < len(out):
+        # two regions that cost as much apart as together are one
+        other = next((j for j in range(len(out)) if j != k and cost(out[j] | out[k]) <= cost(out[j]) + cost(out[k])), None)
+        if other is None:
+            k += 1
             continue
-        out.append([items[i] for i in np.flatnonzero(inside).tolist()])
-    # boundaries that are most of the regions would multiply from level to level; pairs are then fewer
-    worth = max(map(len, out)) <= 0.75 * len(items) and sum(map(len, out)) <= 1.25 * len(items)
-    return out if worth else None
+        both = out[k] | out[other]
+        out = [m for j, m in enumerate(out) if j not in (k, other)] + [both]
+        k = 0
+    return out if sum(map(cost, out)) <= d.shape[1] ** 2 else [np.ones(d.shape[1], bool)]
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n and cls of every row; with them, per task, the shingles that many of its classes share (``token``, ``seen``)."""
+    """doc_id, n, cls and node of every row; with them, per task, the shingles that many of its classes share (``token``, ``seen``)."""
 
     def make():
         seen_classes: set[bytes] = set()
@@ -203,7 +214,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
         def rows(ids, ns, cs, tokens):
             k, m = len(ns), len(tokens)
-            return [ids + [None] * m, ns + [None] * m, cs + [None] * m, [None] * k + list(tokens), [None] * k + list(tokens.values())]
+            nodes = [None if c is None else node_of(c) for c in cs]
+            return [ids + [None] * m, ns + [None] * m, cs + [None] * m, nodes + [None] * m, [None] * k + list(tokens), [None] * k + list(tokens.values())]
 
         def run(part):
             nonlocal size
@@ -225,7 +237,7 @@ def classes(docs: DataFrame) -> DataFrame:
         run.rest = lambda: rows([], [], [], frequent())
         return run
 
-    return map_texts(docs.select("doc_id", "text"), "doc_id long, n long, cls binary, token long, seen long", make)
+    return map_texts(docs.select("doc_id", "text"), "doc_id long, n long, cls binary, node long, token long, seen long", make)
 
 
 def regions(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -259,26 +271,25 @@ def regions(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return map_texts(docs.select("text"), "token long, node long, n int, hot boolean", make, 0)
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows whose region another class is in too.  Frequent shingles are in many classes; their regions aren't gathered."""
-    region = Window.partitionBy("token")
-    cold = rows.where("not hot").withColumns({"lo": F.min("node").over(region), "hi": F.max("node").over(region)}).where("lo < hi")
-    return cold.select(*rows.columns).unionByName(rows.where("hot"))
+def survivors(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """node: the classes that share enough of their first shingles with others to have a link.
 
-
-def peeled(rows: DataFrame) -> DataFrame:
-    """Rows of the classes that are in enough shared regions to have a link."""
-    own = Window.partitionBy("node")
-    return rows.withColumn("regions", F.count(F.lit(1)).over(own)).where("regions >= greatest(1, n div 9)").select(*rows.columns)
+    The rows of a frequent shingle aren't gathered: it counts as shared.
+    """
+    rows = regions(docs, frequent).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1009))).otherwise(0))
+    region = Window.partitionBy("token", "salt")
+    met = rows.withColumns({"lo": F.min("node").over(region), "hi": F.max("node").over(region)}).where("hot or lo < hi").select("token", "node", "n")
+    # a class that several tasks have sends a shingle more than once
+    counted = met.repartition("node").groupBy("node", "n", "token").agg(F.first("n").alias("x")).groupBy("node", "n").agg(F.count(F.lit(1)).alias("regions"))
+    return saved(counted.where("regions >= greatest(1, n div 9)").select("node").distinct(), "survivors")
 
 
-def survivors(docs: DataFrame, frequent: np.ndarray, rounds: int = 2) -> DataFrame:
-    """node: the classes that may have a link, by the regions of the first order."""
-    rows = saved(shared(regions(docs, frequent)), "regions")
-    for _ in range(rounds):
-        some = saved(peeled(rows), "regions", rows)
-        rows = saved(shared(some.dropDuplicates(["token", "node"])), "regions", some)
-    return saved(peeled(rows).select("node").distinct(), "survivors", rows)
+def having(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with a doc_id that may be in ``ids`` (first): a map of BITS bits meets them, BITS / 64 rows at most."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    words = ids.select(bit("first").alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    met = docs.withColumn("b", bit("doc_id")).join(F.broadcast(words), F.expr("b div 64") == F.col("word"))
+    return met.where("getbit(bits, cast(b % 64 as int)) = 1").select(*docs.columns)
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -304,9 +315,11 @@ def blocks(members: DataFrame) -> DataFrame:
     first = f"n - ceil({PERCENT} * n / 100) + 1 + n div 9 - (n - size(own))"
     cut = listed.withColumn("k", F.expr(f"cast({first} as int)")).where("k >= greatest(1, n div 9)")
     cut = saved(cut.select("node", "n", F.explode(F.expr("slice(own, 1, k).token")).alias("token")), "second-regions")
-    pivots = saved(cut.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("hi")).where("p < hi").select("token", "p"), "region-pivots")
-    met = lookup(cut, pivots, "token").withColumn("regions", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("regions >= greatest(1, n div 9)")
-    return components(met.where("node > p").select(F.col("node").alias("a"), F.col("p").alias("b"))).select("node", F.col("root").alias("block"))
+    least = saved(cut.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("hi")).where("p < hi").select("token", "p"), "least-holders")
+    met = lookup(cut, least, "token").withColumn("regions", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("regions >= greatest(1, n div 9)")
+    found = components(met.where("node > p").select(F.col("node").alias("a"), F.col("p").alias("b")))
+    forget(cut, least)
+    return found.select("node", F.col("root").alias("block"))
 
 
 def numbers(raw) -> np.ndarray:
@@ -317,7 +330,7 @@ MEMBERS = "cls binary, shingles binary"
 
 
 def small_blocks(rows: DataFrame) -> DataFrame:
-    """cls and root (a cls) of MEMBERS rows whose blocks have BLOCK sets at most."""
+    """cls and root (a cls) of MEMBERS rows whose blocks have BLOCK shingles at most."""
 
     def run(batches):
         block, names, sets = None, [], []
@@ -345,7 +358,7 @@ def small_blocks(rows: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, keys: list[str], ddl: str, function) -> DataFrame:
-    """``function(pivots, members)`` for each key of rows sorted so that those with tag 0 come first; yields record batches."""
+    """``function(key, pivots, members)`` for each key of rows sorted so that those with tag 0 come first; yields record batches."""
     width = len(keys)
 
     def run(batches):
@@ -354,45 +367,93 @@ def grouped(rows: DataFrame, keys: list[str], ddl: str, function) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:width] != key:
                     if first and members:
-                        yield from function(first, members)
+                        yield from function(key, first, members)
                     key, first, members = row[:width], [], []
                 (members if row[width] else first).append(row[width + 1 :])
         if first and members:
-            yield from function(first, members)
+            yield from function(key, first, members)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, "tag").mapInArrow(run, schema_of(ddl))
 
 
-def large_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b), as cls, that make the components of blocks with more than BLOCK sets."""
-    rows = saved(rows.join(sizes, "block").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "large-blocks")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    pivot = rows.withColumn("j", F.pmod(F.xxhash64("cls", F.lit("pivot")), F.lit(2 * PIVOTS))).groupBy("block", "parts", "j").agg(F.min_by(F.struct("cls", "shingles"), F.xxhash64("cls", F.lit("order"))).alias("p"))
-    pivot = saved(pivot, "pivots")
+def parted(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` (block, cls, ...) with ``parts`` of their block, of about BLOCK shingles each, and a ``part``."""
+    known = saved(sizes.withColumn("parts", F.ceil(F.col("shingle_count") / BLOCK).cast("int")), "block-parts")
+    return lookup(rows, known, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("block").agg(F.sum(F.length("shingles") / 8).cast("long").alias("shingle_count"))
+
+
+def large_blocks(rows: DataFrame) -> DataFrame:
+    """Links (a, b), as cls, that make the components of blocks (block, cls, shingles) with more than BLOCK shingles.
+
+    Each round measures all sets of a block against its pivots, in parts, and
+    deals them to regions.  Regions that fit a task are joined there; larger
+    ones are blocks of the next round, if they are smaller than the block was.
+    """
+    links, rows = [], saved(rows.withColumn("root", F.col("cls")), "large-blocks")
+    while not rows.isEmpty():
+        sizes = saved(sized(rows), "block-sizes")
+        rows = saved(parted(rows, sizes), "large-blocks", rows)
+        measured = saved(measure(rows), "measured")
+        links.append(measured.select(F.col("cls").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        labels = components(every).withColumnsRenamed({"node": "cls"})
+        known = rows.drop("root").join(measured.where("not is_pivot").select("block", "cls", "far"), ["block", "cls"]).join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        inner = f"filter(sequence(0, size(far) - 1), k -> far[k] <= least({3 * EPSILON}, array_min(far) + {2 * EPSILON}) + 1e-9)"
+        outer = f"if(array_min(far) > {2 * EPSILON} + 1e-9, array(-1), array())"
+        dealt = known.withColumn("k", F.explode(F.expr(f"concat({inner}, {outer})")))
+        dealt = saved(dealt.select(F.xxhash64("block", "k").alias("block"), "cls", "shingles", "far", "root", "parts"), "regions", rows)
+        now = saved(
+            dealt.groupBy("block", "root", "parts").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("shingles")).alias("bytes"))
+            .groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), (F.sum("bytes") / 8).cast("long").alias("shingle_count"), F.max("parts").alias("before")).where("most < all"),
+            "region-sizes",
+        )
+        fits, smaller = F.col("shingle_count") <= BLOCK, F.ceil(F.col("shingle_count") / BLOCK) <= 0.75 * F.col("before")
+        inside = dealt.join(now.where(fits).select("block"), "block", "left_semi")
+        links.append(saved(small_blocks(inside).where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), "region-links"))
+        links.append(saved(tiled(dealt.drop("parts"), now.where(~fits & ~smaller)), "tile-links"))
+        rows = saved(dealt.join(now.where(~fits & smaller).select("block"), "block", "left_semi").select("block", "cls", "shingles", "root"), "large-blocks")
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def measure(rows: DataFrame) -> DataFrame:
+    """block, cls, is_pivot, distances ``far`` to the block's pivots and the pivots ``near`` enough to be linked with.
+
+    Pivots are taken by hash, first among the sets outside the block's largest component.
+    """
+    counts = rows.groupBy("block", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = saved(counts.groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main")), "main-components")
+    order = F.struct((F.col("root") == F.col("main")).alias("inside"), F.xxhash64("cls", F.lit("order")).alias("h"))
+    slot = lookup(rows, main, "block").withColumn("j", F.pmod(F.xxhash64("cls", F.lit("pivot")), F.lit(2 * PIVOTS)))
+    pivot = saved(slot.groupBy("block", "parts", "j").agg(F.min_by(F.struct("cls", "shingles"), order).alias("p")), "pivots")
     tagged = (
         pivot.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("tag"), F.col("p.cls").alias("cls"), F.col("p.shingles").alias("shingles"))
         .unionByName(rows.select("block", "part", F.lit(1).alias("tag"), "cls", "shingles"))
     )
 
-    def measure(pivots, members):
+    def run(key, pivots, members):
         pivots = sorted(pivots)
-        sets = [numbers(raw) for _, raw in pivots]
-        names, near, far = [], [], []
-        for cls, raw in members:
-            x = numbers(raw)
-            names.append(cls)
-            far.append([distance(p, x) for p in sets])
-            near.append([c for (c, _), p, d in zip(pivots, sets, far[-1], strict=True) if d <= EPSILON + 1e-9 and linked(p, x)])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(far, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.binary()))], names=["cls", "far", "near"])
-
-    measured = saved(grouped(tagged, ["block", "part"], "cls binary, far array<double>, near array<binary>", measure), "measured")
-    links = measured.select(F.col("cls").alias("a"), F.explode("near").alias("b")).where("a <> b")
-    labels = components(links).withColumnsRenamed({"node": "cls"})
-    known = rows.select("block", "cls", "shingles", "parts", "part").join(measured.select("cls", "far"), "cls").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    known = saved(known, "labelled")
-    counts = saved(known.groupBy("block", "root").agg(F.count(F.lit(1)).alias("k")), "labels")
-    main = counts.groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).where("most < all").withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
-    known = known.join(saved(main.select("block", "main", "chunks"), "unfinished"), "block")
+        names, sets = [c for c, _ in members], Block([numbers(raw) for _, raw in members])
+        found = [sets.measured(numbers(raw)) for _, raw in pivots]
+        own = [c for c, _ in pivots]
+        far = np.array([d for d, _ in found]).T
+        near = [[own[k] for k in np.flatnonzero(x).tolist()] for x in np.array([x for _, x in found]).T]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(names), pa.int64()), pa.array(names, pa.binary()), pa.array([c in own for c in names]), pa.array(far.tolist(), pa.list_(pa.float64())), pa.array(near, pa.list_(pa.binary()))], names=["block", "cls", "is_pivot", "far", "near"])
+
+    return grouped(tagged, ["block", "part"], "block long, cls binary, is_pivot boolean, far array<double>, near array<binary>", run)
+
+
+def tiled(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Links (a, b) of regions that pivots don't divide: the sets outside the largest component with all others, part by part."""
+    known = lookup(parted(rows, regions.select("block", "shingle_count")), regions.select("block", "main", F.ceil((F.col("all") - F.col("most")) * F.col("shingle_count") / F.col("all") / BLOCK).cast("int").alias("chunks")), "block")
     columns = [F.col(c) for c in ("cls", "shingles", "far", "root")]
     outside = known.where("root <> main").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit("chunk")), F.col("chunks")).cast("int"))
     tiles = (
@@ -400,40 +461,35 @@ def large_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
         .unionByName(known.select("block", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("tag"), *columns))
     )
 
-    def compare(own, others):
-        sets = [numbers(raw) for _, raw, _, _ in others]
-        sizes = np.array(list(map(len, sets)))
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        far = np.array([d for _, _, d, _ in others])
+    def run(key, own, others):
+        block, far = Block([numbers(raw) for _, raw, _, _ in others]), np.array([d for _, _, d, _ in others])
         out = []
         for cls, raw, d, root in own:
-            x, met = numbers(raw), {root}
-            lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-            n = hi - lo
-            both = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
-            near = (100 * both >= PERCENT * (len(x) + sizes - both)) & (np.abs(far - np.array(d)) <= EPSILON + 1e-9).all(axis=1)
-            for k in np.flatnonzero(near).tolist():
+            window = (np.abs(far - np.array(d)) <= EPSILON + 1e-9).all(axis=1)
+            met = {root}
+            for k in np.flatnonzero(block.measured(numbers(raw))[1] & window).tolist():
                 if others[k][3] not in met:
                     met.add(others[k][3])
                     out.append((cls, others[k][0]))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
-    return links.unionByName(grouped(tiles, ["block", "part", "chunk"], "a binary, b binary", compare))
+    return grouped(tiles, ["block", "part", "chunk"], "a binary, b binary", run)
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def joined(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``; only of those whose doc_id ``among`` has, if given."""
     docs = docs.select("doc_id", "text")
     made = saved(classes(docs), "classes")
-    rows = made.where("n is not null").select("doc_id", "n", "cls")
-    by_class = saved(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "class-members")
+    rows = made.where("n is not null").select("doc_id", "n", "cls", "node")
+    if among is not None:
+        rows = saved(rows.join(among.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "rows")
+    by_class = saved(rows.where("cls is not null").groupBy("cls", "node").agg(F.min("doc_id").alias("first")), "class-members")
     often = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("n")).where(F.col("n") >= max(HOT_LEAST, by_class.count() // COMMON))
     # at most MAX_COMMON numbers, whatever the corpus
     frequent = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token").collect()], np.int64).view(np.uint64))
-    mine = saved(with_nodes(by_class).join(survivors(docs, frequent), "node", "left_semi").select("first", "cls"), "surviving-classes")
-    texts = docs.where("doc_id is not null").join(mine.withColumnRenamed("first", "doc_id"), "doc_id").select("cls", "text")
+    able = survivors(docs, frequent)
+    mine = saved(by_class.join(able.hint("merge"), "node", "left_semi").select("first", "cls").where("first is not null"), "surviving-classes", able)
+    texts = having(docs, mine).join(mine.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("cls", "text")
 
     def make():
         def run(part):
@@ -446,30 +502,21 @@ def joined(docs: DataFrame) -> DataFrame:
 
     gathered = saved(map_texts(texts, MEMBERS, make), "sets", mine)
     found = saved(blocks(gathered), "blocks")
-    members = saved(with_node_sets(gathered).join(found, "node").select("block", "cls", "shingles"), "block-sets", gathered)
-    sized = members.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    sized = saved(sized, "block-sizes")
-    large = sized.where(f"size > {BLOCK}")
-    roots = small_blocks(members.join(sized.where(f"size <= {BLOCK}").select("block"), "block", "left_semi"))
+    members = saved(with_node_sets(gathered).join(found.hint("merge"), "node").select("block", "cls", "shingles"), "block-sets", gathered, found)
+    sizes = saved(sized(members), "block-sizes")
+    # not many: each has more than BLOCK shingles
+    large = sizes.where(f"shingle_count > {BLOCK}").select("block")
+    roots = small_blocks(members.join(large, "block", "left_anti"))
     if not large.isEmpty():
-        roots = roots.unionByName(components(large_blocks(members, large)).withColumnsRenamed({"node": "cls"}))
-    roots = saved(roots, "roots")
-    labelled = saved(by_class.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first"), "class-roots")
+        roots = roots.unionByName(components(large_blocks(members.join(large, "block", "left_semi"))).withColumnsRenamed({"node": "cls"}))
+    roots = saved(roots, "roots", members, sizes)
+    labelled = saved(by_class.join(roots.hint("merge"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first"), "class-roots", by_class, roots)
     first = saved(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    final = saved(lookup(labelled.select("cls", "root"), first, "root").select("cls", "component_id"), "class-components")
+    final = saved(lookup(labelled.select("cls", "root"), first, "root").select("cls", "component_id"), "class-components", labelled, first)
     result = lookup(rows.where("cls is not null"), final, "cls").unionByName(rows.where("cls is null").withColumn("component_id", F.col("doc_id")))
     return result.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def with_nodes(rows: DataFrame) -> DataFrame:
-    """``rows`` (cls, first) with the node that stands for cls while candidates are looked for."""
-
-    def make():
-        return lambda part: [part.column(0), part.column(1), [node_of(c) for c in part.column(0).to_pylist()]]
-
-    return map_texts(rows.select("cls", "first"), "cls binary, first long, node long", make, 0)
-
-
 def with_node_sets(rows: DataFrame) -> DataFrame:
     """MEMBERS rows with their node."""
 
@@ -479,12 +526,21 @@ def with_node_sets(rows: DataFrame) -> DataFrame:
     return map_texts(rows.select("cls", "shingles"), f"{MEMBERS}, node long", make)
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are linked to one with a smaller doc_id; rows with a null doc_id stay."""
-    keep = joined(docs).where("doc_id is null or component_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct()
-    known = docs.join(keep, "doc_id", "left_semi")
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+def representatives(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the documents that are linked to one with a smaller doc_id; rows with a null doc_id stay.
+
+    With ``texts`` (doc_id, text), documents are compared by their texts there;
+    those that it hasn't stay.
+    """
+    found = joined(docs) if texts is None else joined(texts, docs)
+    # a row that shares its doc_id with another group's first may stay; so may equal rows
+    gone = found.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+    if texts is None:
+        gone = gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = saved(gone, "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_jaccard_join(spark, sf_dir):
+    """doc_id, n_shingles and component_id of every whole text of ``documents``."""
     return joined(documents(spark, sf_dir))

@@ -55,7 +55,7 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [400_000, 500])
 def test_jaccard_join(docs, nothing, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = [d for d in docs.collect() if d.doc_id is not None]
@@ -81,23 +81,30 @@ def test_jaccard_join(docs, nothing, monkeypatch, block):
     assert {i: got[i] for i in ids} == {i: (len(sets[i]), find(i)) for i in ids}
     # the row without an id is a copy of document 4
     assert got[None] == (len(sets[4]), find(4))
-    if block == 256:
+    if block == 400_000:
         assert jaccard_join.joined(nothing).count() == 0
         kept = {r.doc_id for r in jaccard_join.representatives(docs).collect()}
         assert kept == {i for i in ids if find(i) == i} | {None}
 
 
-def test_join_block_is_exact():
-    rnd = random.Random(3)
-    for _ in range(30):
-        base = [rnd.sample(range(100000), 80) for _ in range(4)]
-        sets = [np.unique(np.array([x if rnd.random() > 0.12 else rnd.randrange(100000) for x in rnd.choice(base)], np.uint64)) for _ in range(40)]
-        forest = jaccard_join.Forest(len(sets))
-        for i in range(len(sets)):
-            for j in range(i):
-                if jaccard_join.linked(sets[i], sets[j]):
-                    forest.join(i, j)
-        assert jaccard_join.join_block(sets) == [forest.root(i) for i in range(len(sets))]
+def linked(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 75 * (len(a) + len(b) - both)
+
+
+def test_join_block_is_exact_and_divides():
+    rnd, tally = random.Random(3), Counter()
+    for kinds in (1, 4, 12):
+        for edits in (0.02, 0.12, 0.3):
+            base = [rnd.sample(range(100000), 80) for _ in range(kinds)]
+            sets = [np.unique(np.array([x if rnd.random() > edits else rnd.randrange(100000) for x in rnd.choice(base)], np.uint64)) for _ in range(60)]
+            forest = jaccard_join.Forest(len(sets))
+            for i in range(len(sets)):
+                for j in range(i):
+                    if linked(sets[i], sets[j]):
+                        forest.join(i, j)
+            assert jaccard_join.join_block(sets, tally) == [forest.root(i) for i in range(len(sets))]
+    assert tally["divisions"] >= 5
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
