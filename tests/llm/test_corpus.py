@@ -209,3 +209,30 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.neighbours(few, "vec_id % 50 = 0").collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert neighbours.neighbours(few.limit(0), "vec_id % 50 = 0").count() == 0
+
+
+def test_neighbours_that_tie_and_overflow(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 8))
+    x[1:41] = x[0] * 2.0 ** np.arange(-20, 20)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1000, [1e200, 1e200]), (1001, [1e-200, 1e-200]), (1002, [1e200, -1e200]), (1003, [5e-324, 0.0]), (1050, [3.0, 4.0])]
+    rows += [(2000 + i, np.eye(30)[i].tolist()) for i in range(30)]
+    got = {}
+    for r in neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5]
+    assert [i for i, _ in got[1000]] == [1001, 1050, 1003, 1002] and got[1000][0][1] == pytest.approx(1) and [i for i, _ in got[1050]][:2] == [1000, 1001]
+    # all others tie
+    assert got[2000] == [(2001 + i, 0.0) for i in range(5)]
+
+
+def test_buckets_grow_with_the_table():
+    rnd = np.random.default_rng(4)
+    x = neighbours.unit(rnd.normal(size=(2000, 16)))
+    for n in (10, 20_000, 2_000_000):
+        tables = neighbours.Tables(16, n)
+        assert n / 512 <= tables.buckets <= max(4, n / 64)
+        key, order = tables.bucket(x, 1), tables.order(x, 1, 50)
+        assert (order[:, 0] == key).all() and key.max() < tables.buckets
+        assert all(len(set(row)) == len(row) for row in order.tolist())
