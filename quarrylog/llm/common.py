@@ -24,6 +24,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def unused(name: str, names: list[str]) -> str:
+    """``name``, with a number if one of ``names`` is the same but for case."""
+    taken, k, out = {x.lower() for x in names}, 0, name
+    while out.lower() in taken:
+        k, out = k + 1, f"{name}_{k + 1}"
+    return out
+
+
+def ddl_of(schema) -> str:
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it; in local mode the warehouse stands in for it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

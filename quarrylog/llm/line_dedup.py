@@ -1,14 +1,16 @@
 """Line deduplication across documents.
 
-Lines are exploded as 128-bit hashes of their normalised keys; a key that at
-least two documents hold stays only in the smallest doc_id holding it.  The
-hashes that a document loses go back to it by doc_id, and its other lines are
-joined again in their order.
+Lines are exploded as 128-bit hashes of their normalised keys, with their
+positions; distinct documents are counted per hash, and a key that at least
+MIN_DOCS documents hold stays only in the smallest doc_id holding it.  The
+positions that a text loses go back to it, and its other lines are joined again
+in their order.
 
 Defined results: a null or empty text is one empty line; a null doc_id never
-counts as a holder and loses nothing; rows that share a doc_id are one document
-for counting and each loses the same keys; keys under MIN_CHARS code points
-always stay; an empty table gives an empty result.
+counts as a holder and loses nothing; rows that share a doc_id, repeated ones
+too, are one document for counting and each loses the same keys; keys under
+MIN_CHARS code points always stay; an empty table gives an empty result; a very long text is split and
+joined whole; columns of ``docs`` keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .arrow import map_texts
-from .common import documents, lookup, saved
+from .common import ddl_of, documents, lookup, quoted, saved, unused
 
-MIN_CHARS = 10
+MIN_CHARS, MIN_DOCS = 10, 2
 
 
 def line_hash(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -32,60 +34,70 @@ def line_hash(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row (key, doc_id) for each different long key of each document."""
+    """(key, doc_id, row, places): each different long key of each text and the positions of its lines; ``row`` tells texts that share a doc_id apart."""
 
     def make():
         def explode(part):
-            keys, ids = [], []
-            for i, b in zip(part.column(0).to_pylist(), part.column(1).cast("binary").to_pylist(), strict=True):
-                if i is not None and b:
-                    own = {line_hash(x, min_chars) for x in b.split(b"\n")} - {None}
-                    keys.extend(own)
-                    ids.extend([i] * len(own))
-            return [keys, ids]
+            out = [[], [], [], []]
+            for i, row, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast("binary").to_pylist(), strict=True):
+                if i is None or not b:
+                    continue
+                own: dict[bytes, list[int]] = {}
+                for at, line in enumerate(b.split(b"\n")):
+                    if (key := line_hash(line, min_chars)) is not None:
+                        own.setdefault(key, []).append(at)
+                out[0].extend(own)
+                out[1].extend([i] * len(own))
+                out[2].extend([row] * len(own))
+                out[3].extend(own.values())
+            return out
 
         return explode
 
-    return map_texts(docs.select("doc_id", "text"), "key binary, doc_id long", make)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return map_texts(rows, "key binary, doc_id long, row long, places array<int>", make, 2)
 
 
-def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and the keys that it loses; only documents that lose some."""
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, row and the positions ``lost`` of its lines; only texts that lose some."""
     keys = saved(line_keys(docs, min_chars), "line-keys")
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    return lookup(keys, saved(first, "line-first"), "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("holders")).where(F.col("holders") >= min_docs).select("key", "first")
+    gone = lookup(keys, saved(first, "line-first"), "key").where("doc_id > first")
+    return gone.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("places")).alias("lost"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``docs`` with text rejoined from the lines that stay, then ``n_lines`` and ``n_dropped`` last.
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """All columns of ``docs``, the text rejoined from the lines that stay, then ``n_lines`` and ``n_dropped`` unless ``counts`` is false.
 
-    Columns of ``docs`` named n_lines, n_dropped or lost are left out.
+    If ``docs`` has columns of these two names, the counts are n_lines_1 and so on.
     """
-    docs = docs.drop("n_lines", "n_dropped", "lost")
-    joined = docs.join(dropped_keys(docs, min_chars), "doc_id", "left").select(*docs.columns, "lost")
-    at, names = docs.columns.index("text"), docs.columns
+    names, at = docs.columns, docs.columns.index("text")
+    # names that no column has
+    own = [unused(x, names) for x in ("doc_id", "row", "lost", "n_lines", "n_dropped")]
+    lost = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs).toDF(*own[:3])
+    joined = docs.join(lost, (F.col("`doc_id`") == F.col(own[0])) & (F.xxhash64("text") == F.col(own[1])), "left").select(*map(quoted, names), own[2])
 
     def make():
         def rejoin(part):
             texts, n_lines, n_dropped = [], [], []
-            for b, lost in zip(part.column(at).cast("binary").to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+            for b, gone in zip(part.column(at).cast("binary").to_pylist(), part.column(len(names)).to_pylist(), strict=True):
                 lines = (b or b"").split(b"\n")
                 kept = lines
-                if lost:
-                    lost = set(lost)
-                    kept = [x for x in lines if line_hash(x, min_chars) not in lost]
+                if gone:
+                    gone = set(gone)
+                    kept = [x for k, x in enumerate(lines) if k not in gone]
                 texts.append(b"\n".join(kept).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            return [texts if i == at else part.column(i) for i in range(len(names))] + [n_lines, n_dropped]
+            return [texts if i == at else part.column(i) for i in range(len(names))] + ([n_lines, n_dropped] if counts else [])
 
         return rejoin
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_texts(joined, f"{ddl}, n_lines long, n_dropped long", make, at)
+    return map_texts(joined, ddl_of(docs.schema) + (f", {own[3]} long, {own[4]} long" if counts else ""), make, at)
 
 
 def op2_line_dedup(spark, sf_dir):
+    """doc_id, n_lines, n_dropped and kept_sha256 of every whole text of ``documents``."""
     out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
