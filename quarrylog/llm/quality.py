@@ -6,18 +6,23 @@ new policy, or the effect of leaving a rule out, needs no second look at texts.
 
 Defined results: a null or empty text has no words, so it fails ``few_words``
 and is not kept; a null doc_id passes through; repeated rows are judged each by
-itself; extra columns are ignored; an empty table gives an empty ledger.
+itself; a measure that equals a rule's bound passes; extra columns are ignored
+(``filtered`` keeps them), whatever their names; an empty table gives an empty
+ledger; a very long text is measured whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
+from .common import ddl_of, documents, quoted, unused
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -69,12 +74,17 @@ def _measure():
     return measure
 
 
+def failures(measures: str = "") -> str:
+    """SQL for the failure bits, from measurements that are columns, or fields of the column ``measures``."""
+    read = lambda test: re.sub(r"\b[a-z]\w+\b", lambda m: f"{measures}.{m[0]}", test) if measures else test
+    return " + ".join(f"CASE WHEN {read(test)} THEN {1 << bit}L ELSE 0L END" for bit, (_, test) in RULES.items())
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, measurements and ``failed_bits``: bit i is set when rule i fails."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {kind}, {MEASURES}", _measure)
-    bits = " + ".join(f"CASE WHEN {test} THEN {1 << bit}L ELSE 0L END" for bit, (_, test) in RULES.items())
-    return rows.withColumn("failed_bits", F.expr(bits))
+    rows = map_texts(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), f"doc_id {kind}, {MEASURES}", _measure)
+    return rows.withColumn("failed_bits", F.expr(failures()))
 
 
 def judged(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
@@ -87,7 +97,7 @@ def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """Per rule of the policy: documents failing it, failing it alone, and kept if the rule were left out.
 
     Documents are first counted by mask, so only as many rows as there are
-    different masks (at most 2 ** rules) meet the per-rule sums.
+    different masks (at most 2 ** rules) meet the rules, every mask with every rule.
     """
     mask = POLICIES[policy] | BASE_MASK
     masks = rows.groupBy(F.col("failed_bits").bitwiseAND(F.lit(mask)).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
@@ -102,40 +112,32 @@ def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def filtered(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all columns as they were."""
-
-    schema = docs.schema
-    at, mask = schema.fieldNames().index(text_col), POLICIES[policy] | BASE_MASK
+    """The rows of ``docs`` that the policy keeps, all columns as they were; the ledger's rules are applied to a column of measurements beside them."""
+    names = docs.columns
+    at, own = names.index(text_col), unused("measures", names)
 
     def make():
         measure = _measure()
 
-        def keep(part):
-            import pyarrow as pa
-
+        def run(part):
             _, *columns = measure(part.select([at, at]))
-            kept = [not verdict(*row) & mask for row in zip(*columns, strict=True)]
-            return list(part.filter(pa.array(kept, pa.bool_())).columns)
-
-        return keep
+            fields = [pa.array(c, pa.int64()) for c in columns]
+            return [*part.columns, pa.StructArray.from_arrays(fields, names=[x.split()[0] for x in MEASURES.split(", ")])]
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return map_texts(docs, ddl, make, at)
+        return run
 
-
-def verdict(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines) -> int:
-    """The failure bits of one document; RULES says the same in SQL."""
-    fails = (
-        n_words < 50, 100 * n_repeat_words > 50 * n_words, word_chars < 2 * n_words,
-        word_chars > 25 * n_words, n_symbols > n_words, 2 * n_dup_lines > n_lines,
-    )
-    return sum(fail << bit for bit, fail in enumerate(fails))
+    rows = map_texts(docs, f"{ddl_of(docs.schema)}, {own} struct<{MEASURES.replace(' long', ': bigint')}>", make, at)
+    return rows.where(F.expr(failures(own)).bitwiseAND(F.lit(POLICIES[policy] | BASE_MASK)) == 0).select(*map(quoted, names))
 
 
 def op8_quality_rules(spark, sf_dir):
-    from .common import documents
+    """doc_id, measurements, failed_bits, base_failed and kept of every whole text of ``documents``."""
+    return judged(ledger(documents(spark, sf_dir)))
+
 
-    return judged(ledger(documents(spark, sf_dir))).drop("n_lines")
+def quality_ablations(spark, sf_dir):
+    """Per rule of the default policy: documents failing it, failing it alone, and kept if it were left out."""
+    return ablations(ledger(documents(spark, sf_dir)))
 
 
 SQL = r"""
@@ -151,6 +153,15 @@ m AS (SELECT g.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) f
 b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
       + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 8 ELSE 0 END
       + CASE WHEN n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines::BIGINT AS n_lines, failed_bits,
        failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
+
+ABLATIONS_SQL = f"""
+WITH q AS ({SQL.strip()}),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {1 << bit})" for bit, (name, _) in RULES.items() if (POLICIES[DEFAULT_POLICY] | BASE_MASK) >> bit & 1)}) AS v(rule, bit))
+SELECT rule, sum(CASE WHEN failed_bits & bit <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+       sum(CASE WHEN failed_bits = bit THEN 1 ELSE 0 END)::BIGINT AS n_failed_alone,
+       sum(CASE WHEN failed_bits & ~bit = 0 THEN 1 ELSE 0 END)::BIGINT AS n_kept_without
+FROM q, r GROUP BY rule
+"""

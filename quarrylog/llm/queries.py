@@ -15,9 +15,11 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_neighbours": neighbours.op9_neighbours,
+    "quality_ablations": quality.quality_ablations,
 }
 
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality.SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }
