@@ -10,39 +10,45 @@ A term is disclosing when that ratio and P(e | t) itself reach the thresholds.
 Disclosing terms are spans wherever they stand; sanitised texts name an entity's
 or term's kind instead.
 
+A term is a word without its edge marks, in lower case, that has a letter or a
+digit; it is seen with an entity if it is one of the WINDOW words on either side
+within the line.
+
 Defined results: a null or empty text has no spans; a null doc_id passes
-through; repeated rows are treated alike; an empty table gives an empty result;
-extra columns are ignored (``sanitised`` keeps them).
+through; repeated rows are counted each and treated alike; a ratio or chance
+that equals its threshold discloses; terms that tie all disclose; spans at one
+place come by kind, then end; an empty table gives an empty result; extra
+columns are ignored (``sanitised`` keeps them), whatever their names; a very
+long text is read whole, in time that grows with its length.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .arrow import map_texts
-from .common import documents, lookup, saved
+from .common import ddl_of, documents, lookup, quoted, saved, unused
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match that fails at the first digit of a run fails at its others too.
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 #: Words on either side of an entity, within its line, that are its surroundings.
-WINDOW, WINDOW_CHARS = 8, 240
-MIN_TERM, SMOOTHING, MIN_RATIO, MIN_CHANCE = 4, 0.5, 0.9, 0.5
+WINDOW = 8
+SMOOTHING, MIN_RATIO, MIN_CHANCE = 0.5, 0.9, 0.5
 #: Terms are looked for through a bitmap of this many bits, whatever their number.
 BITS = 1 << 20
-INNER = frozenset("'’-‐‑._&/·")
 EDGES = "\"'()[]{}<>.,;:!?…»«"
 
 
@@ -92,32 +98,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def term_of(word: str) -> str | None:
-    """A word in lower case without edges: letters with their combining marks, and INNER marks between them."""
+    """A word in lower case without edges; None if no letter or digit is left."""
     term = word.strip(EDGES).lower()
-    if len(term) < MIN_TERM or term.isalpha():
-        return term if len(term) >= MIN_TERM else None
-    kept = [c for c in term if c not in INNER]
-    if len(kept) < MIN_TERM or term[0] in INNER or term[-1] in INNER:
-        return None
-    return term if all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in kept) else None
-
-
-def surroundings(text: str, start: int, end: int) -> list[str]:
-    """The terms around a span, nearest WINDOW words on each side within the line."""
-    a = max(text.rfind("\n", 0, start) + 1, start - WINDOW_CHARS)
-    z = text.find("\n", end)
-    z = min(len(text) if z < 0 else z, end + WINDOW_CHARS)
-    before, after = text[a:start].split(), text[end:z].split()
-    # words that the window or the span cuts are no words
-    if a > 0 and not text[a - 1].isspace() and not text[a].isspace():
-        before = before[1:]
-    if start > a and not text[start - 1].isspace():
-        before = before[:-1]
-    if z < len(text) and not text[z].isspace() and not text[z - 1].isspace():
-        after = after[:-1]
-    if end < z and not text[end].isspace():
-        after = after[1:]
-    return [t for w in before[-WINDOW:] + after[:WINDOW] if (t := term_of(w))]
+    return term if term.isalnum() or any(map(str.isalnum, term)) else None
+
+
+class Surroundings:
+    """The words of a text by place, to find those around a span."""
+
+    def __init__(self, text: str):
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in places], [b for _, b in places]
+
+    def __call__(self, start: int, end: int) -> list[str]:
+        """The terms around a span, nearest WINDOW words on each side within the line; words that the span cuts are none."""
+        text, out = self.text, []
+        k = bisect_right(self.ends, start) - 1
+        if k >= 0 and self.ends[k] == start:
+            k -= 1
+        right = start
+        for i in range(k, max(-1, k - WINDOW), -1):
+            if text.find("\n", self.ends[i], right) >= 0:
+                break
+            out.append(text[self.starts[i] : self.ends[i]])
+            right = self.starts[i]
+        k, left = bisect_left(self.starts, end), end
+        if k < len(self.starts) and self.starts[k] == end:
+            k += 1
+        for i in range(k, min(len(self.starts), k + WINDOW)):
+            if text.find("\n", left, self.starts[i]) >= 0:
+                break
+            out.append(text[self.starts[i] : self.ends[i]])
+            left = self.ends[i]
+        return [t for w in out if (t := term_of(w))]
 
 
 def entity_of(kind: str, value: str) -> str:
@@ -125,16 +138,16 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else ''.join(c for c in value if c.isdigit() or kind == 'ip' and c == '.')}"
 
 
-def row_key(doc_id, raw: bytes) -> int:
-    """One number for a row, equal for equal rows."""
-    return xxh3_64_intdigest(raw, seed=xxh3_64_intdigest(str(doc_id))) - (1 << 63)
+def row_key(doc_id, raw: bytes) -> bytes:
+    """One key for a row, equal for equal rows."""
+    return xxh3_128_digest(raw, seed=xxh3_64_intdigest(str(doc_id)))
 
 
-BASE = "row_key long, doc_id long, spans array<struct<kind: string, start: int, end: int>>"
+BASE = "row_key binary, doc_id long, spans array<struct<kind: string, start: int, end: int>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """BASE of every row, then ``seen``: what surrounds each entity, as (entity, terms)."""
+    """BASE of every row, then ``seen``: what surrounds each different entity, as (entity, terms)."""
 
     def make():
         def run(part):
@@ -144,11 +157,11 @@ def scanned(docs: DataFrame) -> DataFrame:
                 found = base_spans(text)
                 keys.append(row_key(d, raw or b""))
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                near = []
+                near: dict[str, set[str]] = {}
+                around = Surroundings(text) if found else None
                 for k, a, b in found:
-                    terms = surroundings(text, a, b)
-                    near.append({"entity": entity_of(k, text[a:b]), "terms": sorted(set(terms))})
-                seen.append(near)
+                    near.setdefault(entity_of(k, text[a:b]), set()).update(around(a, b))
+                seen.append([{"entity": e, "terms": sorted(terms)} for e, terms in near.items()])
             return [keys, part.column(0), spans, seen]
 
         return run
@@ -161,17 +174,18 @@ def bit(term: str) -> int:
 
 
 def bitmap(terms: DataFrame) -> np.ndarray | None:
-    """The terms' bits, at most BITS of them; None if there is no term."""
+    """The terms' bits, at most BITS of them, in words of 64; None if there is no term."""
 
     def make():
         return lambda part: [[bit(x) for x in part.column(0).to_pylist()]]
 
-    bits = [r.b for r in map_texts(terms.select("term"), "b int", make, 0).distinct().collect()]
-    if not bits:
+    bits = map_texts(terms.select("term"), "b int", make, 0)
+    words = bits.groupBy(F.expr("cast(b div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("bits")).collect()
+    if not words:
         return None
-    out = np.zeros(BITS, bool)
-    out[bits] = True
-    return out
+    out = np.zeros(BITS // 64, np.int64)
+    out[[r.word for r in words]] = [r.bits for r in words]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 class Finder:
@@ -223,15 +237,14 @@ def document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def disclosing(docs: DataFrame, base: DataFrame, n_docs: int) -> DataFrame | None:
     """The terms that disclose an entity; None if no term is near any entity."""
-    seen = base.select("row_key", F.explode("seen").alias("s")).select("row_key", "s.*")
-    pairs = seen.select("row_key", "entity", F.explode("terms").alias("term"))
-    # first to one row a document, then to one a pair: an entity or term that is everywhere meets in no one task
-    both = pairs.groupBy("entity", "term", "row_key").agg(F.count(F.lit(1)).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    seen = base.select(F.explode("seen").alias("s")).select("s.*")
+    # a row has an entity once and a term once with it, so counts are of rows, and are pre-aggregated
+    both = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     candidates = saved(both, "candidate-terms")
     bits = bitmap(candidates.select("term").distinct())
     if bits is None:
         return None
-    entities = seen.groupBy("entity", "row_key").agg(F.count(F.lit(1)).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     rows = lookup(lookup(candidates, saved(document_counts(docs, bits), "term-counts"), "term"), saved(entities, "entity-counts"), "entity")
     chance = F.col("n_both") / (F.col("n_term") + SMOOTHING)
     ratio = 1 + F.log2(chance) / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
@@ -274,7 +287,7 @@ def term_spans(docs: DataFrame, terms: DataFrame | None) -> DataFrame | None:
 
         return run
 
-    hits = map_texts(docs.select("doc_id", "text"), "row_key long, term string, found array<struct<kind: string, start: int, end: int>>", make)
+    hits = map_texts(docs.select("doc_id", "text"), "row_key binary, term string, found array<struct<kind: string, start: int, end: int>>", make)
     # the bitmap lets other terms through now and then; the table doesn't
     sure = lookup(saved(hits, "term-hits"), terms, "term").distinct()
     return sure.groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("added"))
@@ -303,32 +316,31 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the text masked."""
     found = detected(docs)
-    added = found.where("size(added) > 0").select("row_key", "added").dropDuplicates(["row_key"])
-    names, at = docs.columns, docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names, at, ident = docs.columns, docs.columns.index("text"), docs.columns.index("doc_id")
+    key, more = unused("row_key", names), unused("added", names)
+    added = found.where("size(added) > 0").select(F.col("row_key").alias(key), F.col("added").alias(more)).dropDuplicates([key])
+    ddl = ddl_of(docs.schema)
 
-    def key():
-        def run(part):
-            return [*part.columns, [row_key(d, raw or b"") for d, raw in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), part.column(at).cast("binary").to_pylist(), strict=True)]]
-
-        return run
+    def keyed():
+        return lambda part: [*part.columns, [row_key(d, raw or b"") for d, raw in zip(part.column(ident).to_pylist(), part.column(at).cast("binary").to_pylist(), strict=True)]]
 
-    keyed = map_texts(docs, f"{ddl}, `__row_key` long", key, at).join(added.withColumnRenamed("row_key", "__row_key").withColumnRenamed("added", "__added"), "__row_key", "left").select(*names, "__added")
+    rows = map_texts(docs, f"{ddl}, {key} binary", keyed, at).join(added, key, "left").select(*map(quoted, names), more)
 
     def mask():
         def run(part):
             texts = []
-            for text, more in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
-                spans = base_spans(text or "") + [(x["kind"], x["start"], x["end"]) for x in more or []]
+            for text, extra in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                spans = base_spans(text or "") + [(x["kind"], x["start"], x["end"]) for x in extra or []]
                 texts.append(masked(text, spans) if spans else text)
             return [texts if i == at else part.column(i) for i in range(len(names))]
 
         return run
 
-    return map_texts(keyed, ddl, mask, at)
+    return map_texts(rows, ddl, mask, at)
 
 
 def op6_pii(spark, sf_dir):
+    """doc_id, counts by kind, base_sha256 and all spans of every whole text of ``documents``."""
     found = detected(documents(spark, sf_dir).select("doc_id", "text"))
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
     counts = {f"n_{k}": F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)") for k in KINDS}
