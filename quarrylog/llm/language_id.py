@@ -2,14 +2,16 @@
 
 A word is emitted piece by piece from a fixed public vocabulary; its
 probability in a language sums over all ways to segment it, by the forward
-algorithm.  Piece probabilities come from expectation maximisation over the
+algorithm.  Piece probabilities come from expectation maximisation over all
 words of a bounded sample of labelled texts: at most TRAIN_DOCS documents a
-language, in the order of a hash of their id, and their TRAIN_WORDS most
-frequent words.  Every text is scored whole.
+language, in the order of a hash of their id.  Every text is scored whole.
 
 Defined results: ``und`` with score 0 if a text is null or has no letters, or
-if nothing was learned; a null doc_id is neither held out nor learned from; ties
-go to the language that sorts first; extra columns are ignored.
+if nothing was learned; a null doc_id is neither held out nor learned from;
+repeated rows are scored each, and learned from once for each if their doc_id is
+in the sample; ties go to the language that sorts first; an empty table gives an
+empty result; extra columns are ignored, whatever their names; a very long text
+is scored whole, run of letters by run.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from .arrow import map_texts
 from .common import documents, saved
 
-TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 400, 5000, 3
-#: Runs of letters that a worker keeps; longer runs aren't learned from.
-MEMO_CHUNKS, MEMO_CHARS = 150_000, 64
-#: Longer pieces are left out; a letter that no piece begins with costs FLOOR in every language.
-PIECE_CHARS, FLOOR = 6, 1e-7
+TRAIN_DOCS, ROUNDS = 100, 3
+#: Runs of letters that a worker keeps.
+MEMO_CHUNKS = 150_000
+#: A letter that no piece begins with costs FLOOR in every language.
+FLOOR = 1e-7
 #: Longer runs of letters are scored one at a time; HASH makes one number of a piece's characters.
 BATCH_CHARS, HASH = 40, np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,19 +45,27 @@ def vocabulary(path: str) -> frozenset[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return frozenset(p for p in pieces if len(p) <= PIECE_CHARS and p.removeprefix("▁").isalpha() and p == p.lower())
+    return frozenset(p for p in pieces if p.removeprefix("▁").isalpha() and p == p.lower())
 
 
-def runs(word: str) -> list[str]:
-    return ["▁" + x for x in LETTERS.findall(word.lower())]
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters; the pattern lets numbers like ½ pass, which are none."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
+def longest(pieces) -> int:
+    return max(map(len, pieces), default=1)
 
 
 def expected(words: dict[str, int], chance: dict[str, float]) -> Counter:
     """How often each piece is expected in the words, over all segmentations."""
-    out: Counter = Counter()
+    out, most = Counter(), longest(chance)
     for word, times in words.items():
         n = len(word)
-        ways = [(i, j, p, chance[p]) for i in range(n) for j in range(i + 1, min(n, i + PIECE_CHARS) + 1) if (p := word[i:j]) in chance]
+        ways = [(i, j, p, chance[p]) for i in range(n) for j in range(i + 1, min(n, i + most) + 1) if (p := word[i:j]) in chance]
         forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         for i, j, _, c in ways:
             forward[j] += forward[i] * c
@@ -69,10 +79,10 @@ def expected(words: dict[str, int], chance: dict[str, float]) -> Counter:
 
 def fit(words: dict[str, dict[str, int]], pieces: frozenset[str], rounds: int = ROUNDS) -> tuple[list[str], dict[str, list[float]]]:
     """Languages in order, and each piece's probability in each of them."""
-    languages = sorted(words)
+    languages, most = sorted(words), longest(pieces)
     chances = {}
     for language in languages:
-        seen = {p for w in words[language] for i in range(len(w)) for j in range(i + 1, min(len(w), i + PIECE_CHARS) + 1) if (p := w[i:j]) in pieces}
+        seen = {p for w in words[language] for i in range(len(w)) for j in range(i + 1, min(len(w), i + most) + 1) if (p := w[i:j]) in pieces}
         chance = dict.fromkeys(seen, 1 / max(1, len(seen)))
         for _ in range(rounds):
             counts = expected(words[language], chance)
@@ -88,11 +98,11 @@ class Scorer:
 
     def __init__(self, languages: list[str], chances: dict[str, list[float]]):
         self.languages, self.chances = languages, chances
-        pieces = sorted(chances)
+        pieces, self.most = sorted(chances), longest(chances)
         self.chance = np.array([chances[p] for p in pieces] + [[FLOOR] * len(languages)])
         # by length: the pieces' hashes in order, and their rows in ``chance``
         self.table = []
-        for size in range(1, PIECE_CHARS + 1):
+        for size in range(1, self.most + 1):
             rows = np.array([k for k, p in enumerate(pieces) if len(p) == size], np.int64)
             codes = np.array([[ord(c) for c in pieces[k]] for k in rows.tolist()], np.uint64).reshape(len(rows), size)
             hashes = np.zeros(len(rows), np.uint64)
@@ -115,10 +125,10 @@ class Scorer:
             for k in range(size):
                 if 0 < at[i][k] < 1e-100:  # a long run: carry the scale apart
                     top = at[i][k]
-                    for j in range(i, min(n, i + PIECE_CHARS) + 1):
+                    for j in range(i, min(n, i + self.most) + 1):
                         at[j][k] /= top
                     shift[k] += math.log(top)
-            for j in range(i + 1, min(n, i + PIECE_CHARS) + 1):
+            for j in range(i + 1, min(n, i + self.most) + 1):
                 chance = chances.get(run[i:j]) or (j == i + 1 and [FLOOR] * size)
                 if chance:
                     at[j] = [t + a * c for t, a, c in zip(at[j], at[i], chance, strict=True)]
@@ -132,23 +142,24 @@ class Scorer:
         codes = np.frombuffer("".join(words[k] for k in order.tolist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
         first = np.cumsum(sizes) - sizes
         left = np.repeat(first + sizes, sizes) - np.arange(len(codes))  # letters from here to the run's end
-        found, hashes = [], np.zeros(len(codes), np.uint64)
-        for size in range(1, PIECE_CHARS + 1):
-            hashes = hashes * HASH
-            hashes[: len(codes) - size + 1] += codes[size - 1 :]
+        found, hashes, place = [], np.zeros(len(codes), np.uint64), np.arange(len(codes))
+        for size in range(1, min(self.most, int(sizes[0])) + 1):
+            # only where a piece of this size ends within the run
+            stay = left[place] >= size
+            place, hashes = place[stay], hashes[stay] * HASH + codes[place[stay] + size - 1]
             known, rows = self.table[size - 1]
             at = np.full(len(codes), len(self.chance) - 1 if size == 1 else -1)
             if len(known):
                 k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = (known[k] == hashes) & (left >= size)
-                at[hit] = rows[k[hit]]
+                hit = known[k] == hashes
+                at[place[hit]] = rows[k[hit]]
             found.append(at)
         longest = int(sizes[0])
-        alpha = np.zeros((longest + 1 + PIECE_CHARS, len(words), len(self.languages)))
+        alpha = np.zeros((longest + 1 + self.most, len(words), len(self.languages)))
         alpha[0] = 1.0
         for i in range(longest):
             n = int(np.searchsorted(-sizes, -i, side="left"))  # runs with a letter here come first
-            for size in range(1, PIECE_CHARS + 1):
+            for size in range(1, min(self.most, longest - i) + 1):
                 at = found[size - 1][first[:n] + i]
                 sel = np.flatnonzero(at >= 0)
                 if len(sel):
@@ -174,7 +185,7 @@ class Scorer:
             return [("und", 0.0)] * len(texts)
         if len(self.numbers) > MEMO_CHUNKS:
             self.forget()
-        split = [LETTERS.findall(x.lower()) if x else [] for x in texts]
+        split = [letter_runs(x) if x else [] for x in texts]
         if new := list(set().union(*split) - self.numbers.keys()):
             self.learn(new)
         out, number = [], self.numbers.__getitem__
@@ -188,11 +199,11 @@ class Scorer:
         return out
 
 
-def training_words(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> dict[str, dict[str, int]]:
+def training_words(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, dict[str, int]]:
     """language -> word -> count, of the bounded sample; ``docs`` has doc_id, text and lang, rows to learn from only."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     ids = docs.select("doc_id", "lang", order.alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    # the first of each part of a language, then the first of those: no language is brought into one task whole
+    # the first of each part of a language, then the first of all parts': no language is brought into one task whole
     first = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(f"n <= {train_docs}")
     chosen = saved(first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(f"n <= {train_docs}").select("doc_id").distinct(), "language-sample")
 
@@ -200,10 +211,8 @@ def training_words(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: i
         def count(part):
             counts: dict[tuple, int] = defaultdict(int)
             for language, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for word, n in Counter((text or "").split()).items():
-                    for run in runs(word):
-                        if len(run) <= MEMO_CHARS:
-                            counts[language, run] += n
+                for run, n in Counter(letter_runs(text or "")).items():
+                    counts[language, "▁" + run] += n
             return [[k[0] for k in counts], [k[1] for k in counts], list(counts.values())]
 
         return count
@@ -211,9 +220,8 @@ def training_words(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: i
     # the sample's ids are at most TRAIN_DOCS a language
     sample = docs.join(F.broadcast(chosen), "doc_id").select("lang", "text")
     words = map_texts(sample, "lang string, word string, n long", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(f"r <= {train_words}")
     out: dict[str, dict[str, int]] = defaultdict(dict)
-    for row in top.collect():
+    for row in words.orderBy("lang", "word").collect():  # the words of TRAIN_DOCS documents a language
         out[row.lang][row.word] = row.n
     return out
 
@@ -237,6 +245,7 @@ def identified(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op1_language_id(spark, sf_dir):
+    """doc_id, held_out, lang_pred and score of every whole text of ``documents``."""
     import public_tokenizers
 
     return identified(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
