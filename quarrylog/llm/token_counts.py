@@ -2,11 +2,14 @@
 
 A piece starts as one symbol a byte.  The lowest-rank adjacent pair, leftmost
 among equals, is popped and merged until none is left; every merge takes away
-one symbol, so the count is the bytes minus the merges and no id is looked up.
+one symbol, so the count is the bytes minus the merges.  Symbols are numbered by
+byte and by the merge that makes them; no token id is looked up.
 
 Defined results: a null or empty text has no bytes and no tokens; a null doc_id
-passes through; repeated rows are counted each; the strings of added tokens
-inside a text are one token each; extra columns are ignored.
+passes through; repeated rows are counted each; pairs of equal rank merge from
+the left; the strings of added tokens inside a text are one token each; an empty
+table gives an empty result; extra columns are ignored, whatever their names; a
+very long text is counted whole, word by word.
 """
 
 from __future__ import annotations
@@ -105,6 +108,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
 
 def op4_token_counts(spark, sf_dir):
+    """doc_id, n_bytes, n_tokens and over_limit of every whole text of ``documents``."""
     import public_tokenizers
 
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
