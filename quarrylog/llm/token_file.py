@@ -11,7 +11,7 @@ beside a Parquet table of the ids by rank.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come
 first; rows that share a doc_id, repeated ones too, follow one another in the
-order of their texts; an empty table gives a file without pages; extra columns
+order of a hash of their texts; an empty table gives a file without pages; extra columns
 are ignored, whatever their names; a very long text is encoded whole, in a page
 of its own if it fills one.
 """
@@ -69,7 +69,9 @@ def encoded(docs: DataFrame, encoder: Callable[[str], object], path: str, end: i
 
     Texts are sorted before they are encoded, so ids are never shuffled.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the bounds of ranges are sampled in the driver: numbers only
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("h")
     schema = schema_of(PLAIN)
 
     def run(batches):
