@@ -10,7 +10,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession
 
 from . import settings as configuration
-from .frame import LogFrame
+from .frame import LogFrame, ordered
 from .functions.timearg import parse_time
 from .operators.records import records
 from .operators.visibility import rules
@@ -62,7 +62,7 @@ def selection(o: argparse.Namespace, conf: dict) -> Selection:
 def lines(spark: SparkSession, o: argparse.Namespace, conf: dict) -> DataFrame:
     """The plan of a batch run: its ``line`` column is the output, in order."""
     delimiter = text.delimiter_for(o.input_format, o.allow_prefix, o.delimiter)
-    entries = text.entries(spark, o.files, delimiter) if o.files and o.files != ["-"] else text.stdin_entries(spark, sys.stdin.buffer.read(), delimiter)
+    entries = text.entries(spark, o.files, delimiter) if o.files and o.files != ["-"] else text.stdin_entries(spark, sys.stdin.buffer, delimiter)
     made = records(entries, conf, input_format=o.input_format, allow_prefix=o.allow_prefix, limit=1 if o.sort else None, max_size=o.max_message_size)
     frame, chosen = LogFrame.from_records(made), selection(o, conf)
     if o.tail is not None:
@@ -70,11 +70,27 @@ def lines(spark: SparkSession, o: argparse.Namespace, conf: dict) -> DataFrame:
     passthrough = chosen.empty and o.input_format == "auto" and not o.sort
     if not chosen.empty:
         frame = frame.where(chosen)
-    rows = frame.sorted() if o.sort else frame.in_order()
+    rows = (frame.timed() if o.sort else frame).df
     renderer = Renderer(conf, rules(o.hide, conf["fields"]["hide"]), o.hide_empty_fields, o.raw_fields)
     shown = rendered(rows, conf, renderer, o.raw, passthrough, None if o.input_info == "none" else o.input_info)
     order = ["ts_sec", "ts_nsec", "input_id", "offset", "rec_no"] if o.sort else ["input_id", "offset", "rec_no"]
-    return shown.orderBy(*order).select("line")
+    return ordered(shown, ("input_id", "offset", "rec_no"), *order).select("line")
+
+
+def write_file(spark: SparkSession, shown: DataFrame, path: str, end: str) -> None:
+    """The lines, written by the executors in parts that are then joined in order."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf, parts, where = spark._jsc.hadoopConfiguration(), fs.Path(f"{path}.parts"), fs.Path(path)
+    shown.write.option("lineSep", end).mode("overwrite").text(parts.toString())
+    system = where.getFileSystem(conf)
+    out = system.create(where, True)
+    for part in sorted(x.getPath().toString() for x in system.listStatus(parts)):
+        if "/part-" in part:
+            stream = system.open(fs.Path(part))
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            stream.close()
+    out.close()
+    system.delete(parts, True)
 
 
 def configured(o: argparse.Namespace) -> dict:
@@ -119,8 +135,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
         return 0
     shown = lines(spark, o, conf)
     if o.output:
-        with open(o.output, "w", encoding="utf-8") as f:
-            f.writelines(row.line + end for row in shown.toLocalIterator())
+        write_file(spark, shown, o.output, end)
     else:
         try:
             for row in shown.toLocalIterator():

@@ -24,6 +24,11 @@ def level_rank(words: dict[str, str], value: Column) -> Column:
     return F.element_at(F.create_map(*pairs), value) if pairs else F.lit(None).cast("int")
 
 
+def ordered(df: DataFrame, position: tuple[str, ...], *order) -> DataFrame:
+    """``df`` sorted.  Spark samples the bounds of ranges by running the plan below the sort; where that parses text, it reads what a shuffle wrote."""
+    return (df.repartition(*position) if "parse_status" in df.columns or "line" in df.columns else df).orderBy(*order)
+
+
 @dataclass(frozen=True)
 class LogFrame:
     df: DataFrame
@@ -55,11 +60,15 @@ class LogFrame:
 
     def in_order(self) -> DataFrame:
         """Input by input, as read."""
-        return self.df.orderBy(*self.position)
+        return ordered(self.df, self.position, *self.position)
+
+    def timed(self) -> LogFrame:
+        """Records that have a time."""
+        return replace(self, df=self.df.where(self.ts.isNotNull()))
 
     def sorted(self) -> DataFrame:
         """In the order of time; records without one are left out.  Ties are in input order."""
-        return self.df.where(self.ts.isNotNull()).orderBy(*self._time(), *self.position)
+        return ordered(self.timed().df, self.position, *self._time(), *self.position)
 
     def _time(self) -> list[Column]:
         return [F.col("ts_sec"), F.col("ts_nsec")] if "ts_sec" in self.df.columns else [self.ts]
