@@ -7,9 +7,9 @@ expressions on its columns.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -41,6 +41,11 @@ _KEY = re.compile(r"[^\x00-\x20\"'(),;<=>\[\\\]^`{|}\x7f]+")
 _PLAIN = re.compile(r"[^\x00-\x20]*")
 
 
+#: A pair whose value is no container, and what follows it.
+_PAIR = re.compile(r'[ \t\r\n]*"((?:[^"\\\x00-\x1f]|\\.)*)"[ \t\r\n]*:[ \t\r\n]*("(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)[ \t\r\n]*([,}])')
+_KINDS = {'"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+
+
 class Malformed(ValueError):
     pass
 
@@ -85,6 +90,23 @@ def json_pairs(s: str, at: int, root: bool) -> tuple[list, int]:
     if s[i : i + 1] == "}":
         return out, i + 1
     while True:
+        # most pairs are found at once; what isn't is looked at piece by piece
+        m = _PAIR.match(s, i)
+        if m and "\\" not in m[1]:
+            key, raw, after = m.groups()
+            kind = _KINDS.get(raw[0], "number")
+            text = raw
+            if kind == "string":
+                try:
+                    text = scanstring(raw, 1, True)[0] if "\\" in raw else raw[1:-1]
+                except ValueError as e:
+                    raise Malformed(str(e)) from None
+            out.append((key, kind, raw, text, None))
+            i = m.end()
+            if after == "}":
+                return out, i
+            i = _SPACE.match(s, i).end()
+            continue
         if s[i : i + 1] != '"':
             raise Malformed("key")
         try:
@@ -135,6 +157,9 @@ def logfmt_pairs(s: str) -> list:
         i = end
 
 
+_normal = lru_cache(10_000)(normal)
+
+
 def flattened(pairs: list) -> list[tuple[str, str, str]]:
     """(path, kind, text) of every value and container; within nested objects the first of equal keys counts."""
     out = []
@@ -144,7 +169,7 @@ def flattened(pairs: list) -> list[tuple[str, str, str]]:
         if kind == "object":
             met = set()
             for key, k, _, t, more in inner:
-                key = normal(key)
+                key = _normal(key)
                 if key not in met:
                     met.add(key)
                     walk(f"{path}.{key}", k, t, more)
@@ -153,7 +178,10 @@ def flattened(pairs: list) -> list[tuple[str, str, str]]:
                 walk(f"{path}.[{n}]", k, t, more)
 
     for key, kind, _, text, inner in pairs:
-        walk(normal(key), kind, text, inner)
+        if inner is None:
+            out.append((_normal(key), kind, text))
+        else:
+            walk(_normal(key), kind, text, inner)
     return out
 
 
@@ -225,24 +253,23 @@ class Predefined:
         return found, fields, original
 
 
-def parse_entry(raw: str, predefined: Predefined, input_format: str = "auto", allow_prefix: bool = False, limit: int | None = None, max_size: int | None = None) -> Iterator[dict]:
-    """Records of one entry, then what is left of it where parsing stopped (status ``invalid``)."""
-    if max_size is not None and len(raw.encode()) > max_size:
-        yield {"rec_start": 0, "rec_end": len(raw), "parse_status": "oversized"}
+def scan_entry(raw: str, predefined: Predefined, input_format: str = "auto", allow_prefix: bool = False, limit: int | None = None, max_size: int | None = None) -> Iterator[tuple]:
+    """(start, end, status, prefix, resolved) of an entry's records, then of what is left of it where parsing stopped (status ``invalid``)."""
+    if max_size is not None and len(raw) > max_size // 4 and len(raw.encode()) > max_size:
+        yield 0, len(raw), "oversized", None, None
         return
     if not raw.strip(" \t\r\n"):
-        yield {"rec_start": 0, "rec_end": len(raw), "parse_status": "empty"}
+        yield 0, len(raw), "empty", None, None
         return
     at, prefix = 0, ""
     if allow_prefix and raw.rstrip().endswith("}") and "{" in raw:
         at = raw.index("{")
         prefix = raw[:at]
     n, end = 0, len(raw)
-    is_json = input_format == "json" or input_format == "auto" and raw[at:].lstrip(" \t\r\n").startswith("{")
+    is_json = input_format == "json" or input_format == "auto" and raw[_SPACE.match(raw, at).end() :][:1] == "{"
     try:
         if not is_json:
-            body = raw[at:]
-            yield _record(logfmt_pairs(body), predefined, at, end, prefix)
+            yield at, end, "ok", prefix, predefined.resolve(logfmt_pairs(raw[at:]))
             return
         while True:
             at = _SPACE.match(raw, at).end()
@@ -251,25 +278,58 @@ def parse_entry(raw: str, predefined: Predefined, input_format: str = "auto", al
             if raw[at] != "{":
                 raise Malformed("object")
             pairs, stop = json_pairs(raw, at, True)
-            yield _record(pairs, predefined, at, stop, prefix if n == 0 else "")
+            yield at, stop, "ok", prefix if n == 0 else "", predefined.resolve(pairs)
             at, n = stop, n + 1
     except (Malformed, RecursionError):
-        yield {"rec_start": at, "rec_end": end, "parse_status": "invalid"}
-
-
-def _record(pairs: list, predefined: Predefined, start: int, end: int, prefix: str) -> dict:
-    found, fields, original = predefined.resolve(pairs)
-    level = found.get("level")
-    message = found.get("message")
-    caller = {"name": found.get("caller"), "file": found.get("caller-file"), "line": found.get("caller-line")}
-    shown = lambda p: {"key": p[0], "kind": p[1], "raw": p[2], "text": p[3]}
-    return {
-        "rec_start": start, "rec_end": end, "prefix": prefix, "parse_status": "ok", "ts_raw": found.get("time"), "level": level,
-        "level_rank": RANK.get(level), "logger": found.get("logger"), "caller": caller if any(caller.values()) else None,
-        "message": dict(zip(("kind", "raw", "text"), message, strict=True)) if message else None,
-        "fields": [shown(p) for p in fields], "predefined": [shown(p) for p in original],
-        "nodes": [dict(zip(("path", "kind", "text"), x, strict=True)) for x in flattened([*fields, *((*p, None) if p[1] not in ("object", "array") else (*p, json_value(p[2], 0)[2]) for p in original)])],
-    }
+        yield at, end, "invalid", None, None
+
+
+def nodes_of(fields: list, original: list) -> list[tuple[str, str, str]]:
+    return flattened([*fields, *((*p, json_value(p[2], 0)[2] if p[1] in ("object", "array") else None) for p in original)])
+
+
+def parse_entry(raw: str, predefined: Predefined, **options) -> Iterator[dict]:
+    """The records of one entry by column name."""
+    named = lambda names, rows: [dict(zip(names, x, strict=False)) for x in rows]
+    for start, end, status, prefix, resolved in scan_entry(raw, predefined, **options):
+        row = {"rec_start": start, "rec_end": end, "parse_status": status}
+        if resolved:
+            found, fields, original = resolved
+            level, message = found.get("level"), found.get("message")
+            caller = {"name": found.get("caller"), "file": found.get("caller-file"), "line": found.get("caller-line")}
+            shown = ("key", "kind", "raw", "text")
+            row |= {
+                "prefix": prefix, "ts_raw": found.get("time"), "level": level, "level_rank": RANK.get(level), "logger": found.get("logger"),
+                "caller": caller if any(caller.values()) else None, "message": dict(zip(("kind", "raw", "text"), message, strict=True)) if message else None,
+                "fields": named(shown, fields), "predefined": named(shown, original), "nodes": named(("path", "kind", "text"), nodes_of(fields, original)),
+            }
+        yield row
+
+
+class Structs:
+    """A column of lists of structs, or of structs that may be null, as flat lists."""
+
+    def __init__(self, kind: pa.DataType):
+        self.many = pa.types.is_list(kind)
+        self.kind, self.ends, self.valid = kind.value_type if self.many else kind, [0], []
+        self.flat: list[tuple] = []
+
+    def add(self, rows: list[tuple] | None) -> None:
+        self.valid.append(rows is not None)
+        if rows:
+            self.flat += rows
+        elif not self.many:
+            self.flat.append((None,) * self.kind.num_fields)
+        self.ends.append(len(self.flat))
+
+    def array(self) -> pa.Array:
+        n = self.kind.num_fields
+        columns = list(zip(*self.flat, strict=True)) if self.flat else [()] * n
+        none = pa.array([not x for x in self.valid], pa.bool_())
+        parts = [pa.array(columns[i], self.kind.field(i).type) for i in range(n)]
+        if not self.many:
+            return pa.StructArray.from_arrays(parts, fields=list(self.kind), mask=none)
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(self.kind)), mask=none)
 
 
 def records(entries: DataFrame, settings: dict, **options) -> DataFrame:
@@ -278,17 +338,34 @@ def records(entries: DataFrame, settings: dict, **options) -> DataFrame:
 
     def run(batches):
         arrow, predefined = to_arrow_schema(schema), Predefined(settings)
+        plain = ["rec_no", "rec_start", "rec_end", "prefix", "parse_status", "ts_raw", "level", "level_rank", "logger"]
+        nested = ["caller", "message", "fields", "predefined", "nodes"]
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                for n, record in enumerate(parse_entry(row["raw"] or "", predefined, **options)):
-                    rows.append(row | {"rec_no": n} | record)
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows, source = [], []
+            made = {name: Structs(arrow.field(name).type) for name in nested}
+            caller, message, shown, original_, nodes = (made[x].add for x in nested)
+            for k, raw in enumerate(batch.column(3).to_pylist()):
+                for n, (start, end, status, prefix, resolved) in enumerate(scan_entry(raw or "", predefined, **options)):
+                    source.append(k)
+                    if resolved is None:
+                        rows.append((n, start, end, prefix, status, None, None, None, None))
+                        for x in made.values():
+                            x.add(None)
+                        continue
+                    found, fields, original = resolved
+                    get = found.get
+                    level, said = get("level"), get("message")
+                    rows.append((n, start, end, prefix, status, get("time"), level, RANK.get(level), get("logger")))
+                    by = (get("caller"), get("caller-file"), get("caller-line"))
+                    caller([by] if any(by) else None)
+                    message([said] if said else None)
+                    shown([p[:4] for p in fields])
+                    original_(original)
+                    nodes(nodes_of(fields, original))
+            columns = dict(zip(plain, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(plain, [])
+            own = batch.take(pa.array(source, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(columns[x], arrow.field(x).type) for x in plain), *(x.array() for x in made.values())], schema=arrow)
 
     made = entries.select("input_id", "input_name", "offset", "raw").mapInArrow(run, schema)
     made = made.withColumn("__t", timestamps.parsed(F.col("ts_raw")))
     return made.withColumns({"ts_sec": F.col("__t.sec"), "ts_nsec": F.col("__t.nsec"), "ts_offset_min": F.col("__t.offset_min")}).withColumn("ts", timestamps.instant(F.col("ts_sec"), F.col("ts_nsec"))).drop("__t")
-
-
-def decode_json_string(raw: str) -> str:
-    return json.loads(raw)
