@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
+import json
 import sys
+import time
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
@@ -12,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import settings as configuration
 from .frame import LogFrame, ordered
 from .functions.timearg import parse_time
+from .levels import parse_level
+from .operators import index
 from .operators.records import records
 from .operators.visibility import rules
 from .plans.filters import Selection
@@ -50,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     a("-o", "--output")
     a("--output-delimiter", choices=["newline", "nul"], default="newline")
     a("--dump-index", action="store_true")
+    a("--index", help="folder that keeps the index of blocks between runs")
     return p
 
 
@@ -59,12 +65,36 @@ def selection(o: argparse.Namespace, conf: dict) -> Selection:
     return Selection(o.level, at(o.since), at(o.until), o.filter, o.query)
 
 
+def parsed(entries: DataFrame, o: argparse.Namespace, conf: dict, limit: int | None = None) -> DataFrame:
+    return records(entries, conf, input_format=o.input_format, allow_prefix=o.allow_prefix, limit=limit, max_size=o.max_message_size)
+
+
+def indexed(spark: SparkSession, entries: DataFrame, o: argparse.Namespace, conf: dict) -> DataFrame:
+    """The index of the inputs.  With ``--index``, blocks unchanged since the last run are not parsed again, and the new index is kept for the next."""
+    if not o.index:
+        return index.built(entries, lambda e: parsed(e, o, conf))
+    # what is parsed depends on the settings, so each has an index of its own
+    key = hashlib.sha256(json.dumps([conf["fields"], o.input_format, o.allow_prefix, o.max_message_size], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    system = spark._jvm.org.apache.hadoop.fs
+    folder = system.Path(f"{o.index}/{key}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(x.getPath().toString() for x in fs.listStatus(folder) if fs.exists(system.Path(x.getPath(), "_SUCCESS"))) if fs.exists(folder) else []
+    old = spark.read.parquet(versions[-1]) if versions else None
+    path = f"{folder.toString()}/{time.time_ns():020d}"
+    index.built(entries, lambda e: parsed(e, o, conf), old).write.parquet(path)
+    for version in versions[:-1]:  # the last may still be read by another run
+        fs.delete(system.Path(version), True)
+    return spark.read.parquet(path)
+
+
 def lines(spark: SparkSession, o: argparse.Namespace, conf: dict) -> DataFrame:
     """The plan of a batch run: its ``line`` column is the output, in order."""
     delimiter = text.delimiter_for(o.input_format, o.allow_prefix, o.delimiter)
     entries = text.entries(spark, o.files, delimiter) if o.files and o.files != ["-"] else text.stdin_entries(spark, sys.stdin.buffer, delimiter)
-    made = records(entries, conf, input_format=o.input_format, allow_prefix=o.allow_prefix, limit=1 if o.sort else None, max_size=o.max_message_size)
-    frame, chosen = LogFrame.from_records(made), selection(o, conf)
+    chosen = selection(o, conf)
+    if o.sort and o.index and o.tail is None:
+        entries = index.pruned(entries, indexed(spark, entries, o, conf), chosen.since, chosen.until, parse_level(chosen.level) if chosen.level else None)
+    frame = LogFrame.from_records(parsed(entries, o, conf, 1 if o.sort else None))
     if o.tail is not None:
         frame = frame.tail(o.tail)
     passthrough = chosen.empty and o.input_format == "auto" and not o.sort
@@ -126,12 +156,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
         follow.run(made, emit, f"{o.sync_interval_ms} milliseconds").awaitTermination()
         return 0
     if o.dump_index:
-        from pyspark.sql import functions as F
-
-        from .operators import index
-
-        made = records(text.entries(spark, o.files, text.delimiter_for(o.input_format, o.allow_prefix, o.delimiter)), conf)
-        index.block_stats(made, ["input_name"], rank=F.col("level_rank"), valid=F.col("parse_status") == "ok").show(1000, False)
+        entries = text.entries(spark, o.files, text.delimiter_for(o.input_format, o.allow_prefix, o.delimiter))
+        for row in indexed(spark, entries, o, conf).orderBy(*index.KEYS).toJSON().toLocalIterator():
+            (out or sys.stdout).write(row + end)
         return 0
     shown = lines(spark, o, conf)
     if o.output:

@@ -49,6 +49,10 @@ def _english(text: str, now: datetime) -> datetime | None:
     m = re.fullmatch(r"(\d+)\s*([a-z]+)\s+ago", " ".join(words))
     if m and m[2] in UNITS:
         return now - timedelta(seconds=int(m[1]) * UNITS[m[2]])
+    if len(words) == 1 and re.fullmatch(r"[12]\d{3}", words[0]):
+        return midnight.replace(year=int(words[0]), month=1, day=1)
+    if len(words) > 1 and words[0].isdigit() and len(words[1]) >= 3 and any(x.startswith(words[1]) for x in MONTHS):
+        words[:2] = words[1], words[0]  # a day before its month
     day, rest = None, words
     if words[:1] in (["today"], ["yesterday"], ["tomorrow"]):
         day, rest = midnight + timedelta(days={"today": 0, "yesterday": -1, "tomorrow": 1}[words[0]]), words[1:]

@@ -89,5 +89,37 @@ def content_hash(raw: Column, order: Column) -> Column:
     return F.sum(F.xxhash64(raw, order).cast("decimal(38,0)")).cast("string")
 
 
-def file_key(path: Column) -> Column:
-    return F.sha2(path, 256)
+#: Bytes of an input that make a block.
+BLOCK_BYTES = 1 << 20
+KEYS = ["input_name", "block_no"]
+STATS = ["entries_valid", "entries_invalid", "ts_min", "ts_max", "flags"]
+
+
+def in_blocks(entries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return entries.withColumn("block_no", F.expr(f"offset div {block_bytes}"))
+
+
+def built(entries: DataFrame, parse, old: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The index of ENTRY rows: KEYS, ``hash`` and STATS of each block.
+
+    ``parse`` makes records of entries.  Blocks that ``old``, an index too, has
+    with the same hash are taken from it and not parsed.
+    """
+    blocked = in_blocks(entries, block_bytes)
+    blocks = blocked.groupBy(*KEYS).agg(content_hash(F.col("raw"), F.col("offset")).alias("hash"))
+    known = None
+    if old is not None:
+        known = reusable(blocks, old, [*KEYS, "hash"])
+        blocked = blocked.join(known.where("fresh").select(*KEYS), KEYS, "left_semi")
+    made = in_blocks(parse(blocked.drop("block_no")), block_bytes).withColumn("valid", F.col("parse_status") == "ok")
+    made = with_previous(made, [*KEYS, "valid"], ["offset", "rec_no"])
+    out = block_stats(made, KEYS, rank=F.col("level_rank"), valid=F.col("valid"), unsorted=F.col("unsorted")).join(blocks, KEYS).select(*KEYS, "hash", *STATS)
+    if known is not None:
+        out = out.unionByName(known.where("not fresh").select(*KEYS, "hash", *STATS))
+    return out
+
+
+def pruned(entries: DataFrame, blocks: DataFrame, since=None, until=None, rank: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Entries of the blocks that a selection may find timed records in."""
+    keep = blocks.where(possible(since, until, rank)).select(*KEYS)
+    return in_blocks(entries, block_bytes).join(keep, KEYS, "left_semi").select(*entries.columns)

@@ -21,8 +21,6 @@ from .query import And, Exists, Field, Level, Not, Or
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 #: Severity is the other way round from rank.
 FLIPPED = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
-#: Sets up to this size are literals; a larger one needs ``membership``.
-MAX_LITERALS = 10_000
 
 
 def _sure(c: Column) -> Column:
@@ -86,13 +84,14 @@ class TableResolver:
         return out
 
     def values(self, name: str):
-        """(present, apply) for each way to the field; apply gives whether any of its values passes a test."""
+        """(present, apply) for each way to the field; apply gives whether it is present and any of its values passes a test."""
         for column, kind, steps in self.find(name):
             if not steps:
-                yield column.isNotNull(), lambda test, v=_value(column, kind): test(v)
+                yield column.isNotNull(), lambda test, c=column, v=_value(column, kind): c.isNotNull() & _sure(test(v))
             elif steps[0] == ".":
                 text = F.get_json_object(column, "$." + steps[1])
-                yield text.isNotNull(), lambda test, v=Value(text): test(v)
+                # as the one element of an array the JSON is read once, however often the test looks at it
+                yield text.isNotNull(), lambda test, t=text: F.exists(F.array(t), lambda x: x.isNotNull() & _sure(test(Value(x))))
             else:
                 step, after = steps
                 inner = kind.elementType
@@ -109,12 +108,13 @@ class TableResolver:
                     yield F.size(column) > 0, lambda test, c=column, e=element: F.exists(c, lambda x: _sure(test(e(x))))
                 elif step.isdigit():
                     at = F.get(column, F.lit(int(step)))
-                    yield F.size(column) > int(step), lambda test, x=at, e=element: test(e(x))
+                    there = F.size(column) > int(step)
+                    yield there, lambda test, t=there, x=at, e=element: _sure(t) & _sure(test(e(x)))
 
     def any(self, name: str, test: Callable[[Value], Column]) -> Column:
         found = F.lit(False)
-        for present, apply in self.values(name):
-            found = found | (_sure(present) & _sure(apply(test)))
+        for _, apply in self.values(name):
+            found = found | _sure(apply(test))
         return found
 
     def present(self, name: str) -> Column:

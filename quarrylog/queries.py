@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from .frame import LogFrame
 from .functions import strftime, timestamps
-from .functions.keys import pretty
 from .levels import parse_level
 from .operators import index
+from .operators.records import records
+from .operators.visibility import rules
 from .plans.filters import Selection, membership
+from .render import Renderer, rendered
+from .settings import DEFAULTS
+from .sources import text
 
 #: How event types stand for severity: a level variant as a configuration would name it.
 EVENT_LEVELS = {"error": "error", "purchase": "warning", "signup": "info", "click": "debug", "view": "trace"}
@@ -192,13 +196,46 @@ def _overlap(s, d):
     return a.join(c, F.col("other_no") == F.col("block_no") + 1).select("block_no", "other_no", index.overlaps(F.col("al"), F.col("ah"), F.col("cl"), F.col("ch")).alias("overlaps"))
 
 
+def _log(s, d, changed=False):
+    """Events as JSON lines of one input; with ``changed``, some blocks as they were before."""
+    level = F.create_map(*[F.lit(x) for pair in EVENT_LEVELS.items() for x in pair])[F.col("event_type")]
+    kept = F.when(F.expr("event_id div 1000 % 3 = 0"), F.col("user_id") + 1).otherwise(F.col("user_id")) if changed else F.col("user_id")
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"), level.alias("level"), kept.alias("user_id")))
+    return table(s, d, "events").select(F.lit(0).alias("input_id"), F.lit("events").alias("input_name"), F.col("event_id").alias("offset"), line.alias("raw"))
+
+
+def _parse(entries):
+    return records(entries, DEFAULTS)
+
+
 def _reuse(s, d):
-    blocks = _blocks(s, d).groupBy("block_no").agg(F.sum("user_id").alias("hash"))
-    old = index.block_stats(_blocks(s, d).where("block_no % 3 <> 0"), ["block_no"], rank=F.col("rank")).join(blocks, "block_no")
-    return index.reusable(blocks, old, ["block_no", "hash"]).select("block_no", "fresh", "entries_valid")
+    """An index of changed blocks renewed: what is taken over has the old statistics, marked by a count that no fresh block has."""
+    old = index.built(_log(s, d, True), _parse, block_bytes=1000).withColumn("entries_invalid", F.lit(-1).cast("bigint"))
+    new = index.built(_log(s, d), _parse, old, 1000)
+    return new.select("block_no", (F.col("entries_invalid") >= 0).alias("fresh"), "entries_valid", "ts_min", "ts_max", "flags")
+
+
+UNSORTED_SQL = "SELECT b, max(CASE WHEN ts < p THEN 65536 ELSE 0 END) AS u FROM (SELECT event_id // 1000 AS b, ts, lag(ts) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS p FROM events) GROUP BY b"
+_add("index_reuse_join", _reuse, f"{STATS} SELECT block_no, block_no % 3 = 0 AS fresh, entries_valid, ts_min::TIMESTAMP AS ts_min, ts_max::TIMESTAMP AS ts_max, flags | CAST(x.u AS BIGINT) AS flags FROM b JOIN ({UNSORTED_SQL}) x ON x.b = b.block_no")
+
 
+def _same_hash(s, d):
+    """Blocks whose content hash differs between two states of the log."""
+    hashes = lambda e, n: index.in_blocks(e, 1000).groupBy("block_no").agg(index.content_hash(F.col("raw"), F.col("offset")).alias(n))
+    return hashes(_log(s, d), "a").join(hashes(_log(s, d, True), "b"), "block_no").select("block_no", (F.col("a") == F.col("b")).alias("same"))
 
-_add("index_reuse_join", _reuse, f"{STATS} SELECT block_no, block_no % 3 = 0 AS fresh, CASE WHEN block_no % 3 <> 0 THEN entries_valid END AS entries_valid FROM b")
+
+_add("index_content_hash", _same_hash, "SELECT DISTINCT event_id // 1000 AS block_no, event_id // 1000 % 3 <> 0 AS same FROM events")
+
+
+def _pruned(s, d):
+    entries = _log(s, d)
+    keep = index.pruned(entries, index.built(entries, _parse, block_bytes=1000), datetime(2024, 1, 10), datetime(2024, 1, 12), parse_level("warning"), 1000)
+    frame = LogFrame.from_records(_parse(keep)).where(Selection("warning", datetime(2024, 1, 10), datetime(2024, 1, 12)))
+    return frame.sorted().select(F.col("offset").alias("event_id"), "ts")
+
+
+_add("index_pruned_sort", _pruned, f"SELECT event_id, ts::TIMESTAMP AS ts FROM events WHERE {RANK_SQL} <= 1 AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
 
 
 def _epochs(s, d):
@@ -221,14 +258,48 @@ _add(
     lambda s, d: table(s, d, "events").select("event_id", strftime.formatted("%Y-%m-%d %T.%3N %j %a", F.col("ts").cast("timestamp")).alias("time")),
     "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g %j %a') AS time FROM events",
 )
-_lines = lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents)"
-_add("split_lines", lambda s, d: _lines(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars")), f"{LINES} SELECT doc_id, count(*) AS n, CAST(sum(length(raw)) AS BIGINT) AS chars FROM l GROUP BY doc_id")
-_add("unparsed_passthrough", lambda s, d: _lines(s, d).where("raw <> '' and not startswith(raw, '{')").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), f"{LINES} SELECT doc_id, count(*) AS n FROM l WHERE raw <> '' AND NOT starts_with(raw, '{{') GROUP BY doc_id")
+_lines = lambda s, d: text.column_entries(table(s, d, "documents"), "doc_id", "text", "newline")
+_by_doc = lambda df: df.groupBy(F.col("input_name").cast("long").alias("doc_id"))
+LINES = """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, len(string_split(text, chr(10))) AS n FROM documents),
+l AS (SELECT doc_id, regexp_replace(raw, '\r$', '') AS raw FROM p WHERE line < n OR raw <> '')"""
+_add("split_lines", lambda s, d: _by_doc(_lines(s, d)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars")), f"{LINES} SELECT doc_id, count(*) AS n, CAST(sum(length(raw)) AS BIGINT) AS chars FROM l GROUP BY doc_id")
+_add(
+    "unparsed_passthrough",
+    lambda s, d: _by_doc(_parse(_lines(s, d))).agg(*(F.count_if(F.col("parse_status") == x).alias(f"n_{x}") for x in ("ok", "empty", "invalid"))),
+    LINES + r""", c AS (SELECT doc_id, CASE WHEN trim(raw, E' \t\r\n') = '' THEN 'empty' WHEN regexp_full_match(raw, '[\x00-\x20]*([^\x00-\x20"''(),;<=>\[\\\]^`{|}\x7f]+=("([^"\\]|\\.)*"|[^\x00-\x20"=]*)([\x00-\x20]+|$))*') THEN 'ok' ELSE 'invalid' END AS k FROM l)
+SELECT doc_id, count(*) FILTER (k = 'ok') AS n_ok, count(*) FILTER (k = 'empty') AS n_empty, count(*) FILTER (k = 'invalid') AS n_invalid FROM c GROUP BY doc_id""",
+)
+
+
+def _nested(s, d):
+    """Events as JSON lines with a nested object, an array and empty values."""
+    line = F.format_string('{"event_id":%d,"Event_Type":"%s","props":%s,"tags":[%d,"x"],"none":null,"box":{"empty":"","gone":{}}}', "event_id", "event_type", "props", "user_id")
+    return _parse(table(s, d, "events").select(F.lit(0).alias("input_id"), F.lit("events").alias("input_name"), F.col("event_id").alias("offset"), line.alias("raw")))
+
+
 _add(
     "flatten_keys",
-    lambda s, d: table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string, string>")).alias("k", "v")).select("event_id", F.concat(F.lit("props."), pretty(F.col("k"))).alias("key"), F.col("v").alias("value")),
-    "SELECT event_id, 'props.k' AS key, json_extract_string(props, '$.k') AS value FROM events",
+    lambda s, d: _nested(s, d).select(F.col("offset").alias("event_id"), F.explode("nodes").alias("n")).where("n.kind in ('string', 'number')").select("event_id", F.col("n.path").alias("key"), F.col("n.text").alias("value")),
+    """SELECT event_id, 'event-id' AS key, CAST(event_id AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 'event-type', event_type FROM events
+UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k') FROM events UNION ALL SELECT event_id, 'tags.[0]', CAST(user_id AS VARCHAR) FROM events
+UNION ALL SELECT event_id, 'tags.[1]', 'x' FROM events UNION ALL SELECT event_id, 'box.empty', '' FROM events""",
+)
+
+
+def _shown(s, d, hide, hide_empty):
+    shown = rendered(_nested(s, d), DEFAULTS, Renderer(DEFAULTS, rules(hide), hide_empty))
+    return shown.select(F.col("offset").alias("event_id"), "line")
+
+
+_add(
+    "hide_fields",
+    lambda s, d: _shown(s, d, ["!*", "*", "!event-id", "!props.k"], False),
+    "SELECT event_id, '------------ [###] event-id=' || event_id || ' props.k=' || json_extract_string(props, '$.k') || ' ...' AS line FROM events",
+)
+_add(
+    "hide_empty",
+    lambda s, d: _shown(s, d, ["tags"], True),
+    "SELECT event_id, '------------ [###] event-id=' || event_id || ' Event-Type=' || event_type || ' props.k=' || json_extract_string(props, '$.k') || ' ...' AS line FROM events",
 )
 
 

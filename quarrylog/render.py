@@ -112,7 +112,7 @@ class Renderer:
         name = ".".join(path)
         if self.hide_empty and is_empty(kind, text) or name in self.predefined_nested and len(path) > 1:
             return []
-        if kind == "object" and (self.flatten or self.visibility.children or self.visibility.patterns):
+        if kind == "object" and (self.flatten or self.hide_empty or self.visibility.children or self.visibility.patterns):
             inner = json_value(raw, 0)[2]
             if inner:
                 out = [x for k, kd, r, t, _ in inner for x in self.leaves([*path, k], kd, r, t, hidden)]
@@ -177,17 +177,20 @@ def badge(name: Column, input_id: Column, style: str = "minimal") -> Column:
     return F.concat(shown, F.lit(PUNCTUATION["input-right-separator"][1]))
 
 
+#: What a rendered record keeps to be ordered by.
+PLACE = ["input_id", "input_name", "offset", "rec_no", "ts_sec", "ts_nsec"]
+
+
 def rendered(records: DataFrame, settings: dict, renderer: Renderer, raw: bool = False, passthrough: bool = True, input_info: str | None = None) -> DataFrame:
-    """``records`` with ``line``: the rendered record, or its source text if ``raw`` or if it was never parsed and ``passthrough`` holds."""
+    """The places and times of ``records`` with ``line``: the rendered record, or its source text if ``raw`` or if it was never parsed and ``passthrough`` holds."""
     time = formatted(settings["time-format"], F.col("ts"), F.col("ts_nsec"), settings["time-zone"])
     source = F.col("raw").substr(F.col("rec_start") + 1, F.col("rec_end") - F.col("rec_start"))
     unparsed = F.col("parse_status") != "ok"
     rows = records.where(~unparsed | F.lit(passthrough) & (F.col("parse_status") != "empty"))
     if raw:
-        out = rows.withColumn("line", source)
+        out = rows.select(*PLACE, source.alias("line"))
     else:
-        schema = rows.withColumn("line", F.lit("")).schema
-        names = rows.columns
+        schema = rows.select(*PLACE, F.lit("").alias("line")).schema
         timed = rows.withColumns({"__time": time, "__source": source})
 
         def run(batches):
@@ -199,7 +202,7 @@ def rendered(records: DataFrame, settings: dict, renderer: Renderer, raw: bool =
                 from pyspark.sql.pandas.types import to_arrow_schema
 
                 arrow = arrow or to_arrow_schema(schema)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).cast(arrow.field(n).type) for n in names), pc.cast(pa.array(lines, pa.string()), pa.string())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).cast(arrow.field(n).type) for n in PLACE), pc.cast(pa.array(lines, pa.string()), pa.string())], schema=arrow)
 
         out = timed.mapInArrow(run, schema)
     if input_info:

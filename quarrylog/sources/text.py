@@ -153,6 +153,25 @@ def plain_lines(spark: SparkSession, files: dict[str, int], delimiter: str) -> D
     return numbered(spark, rows, files).select("input_id", F.col("path").alias("input_name"), "offset", "raw")
 
 
+def column_entries(df: DataFrame, ident: str, column: str, delimiter: str) -> DataFrame:
+    """ENTRY rows of a text column: each value is an input, told by ``ident``; a null has no entries."""
+    schema, split = _parse_datatype_string(ENTRY), splitter(delimiter)
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            rows = []
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(0, name, at, raw.decode("utf-8", "replace")) for at, raw in split(data)]
+                if len(rows) > 10_000:
+                    yield entry_rows(arrow, rows)
+                    rows = []
+            if rows:
+                yield entry_rows(arrow, rows)
+
+    return df.where(F.col(column).isNotNull()).select(F.col(ident).cast("string"), F.col(column).cast("binary")).mapInArrow(run, schema)
+
+
 #: What an entry is to its split: whole, or the part at its beginning, at its end, or all that it has.
 WHOLE, HEAD, TAIL, ALL = range(4)
 PARTS = "path string, start bigint, role int, offset bigint, raw binary"

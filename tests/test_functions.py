@@ -42,6 +42,7 @@ NOW = datetime(2024, 3, 14, 15, 9, 26, tzinfo=ZoneInfo("UTC"))
         ("-3h", "2024-03-14 12:09:26"), ("+1d", "2024-03-15 15:09:26"), ("-1h 30m", "2024-03-14 13:39:26"),
         ("2024-03-01", "2024-03-01 00:00:00"), ("2024-03-01T10:00:00+02:00", "2024-03-01 08:00:00"), ("today", "2024-03-14 00:00:00"),
         ("yesterday at 12:00", "2024-03-13 12:00:00"), ("friday", "2024-03-08 00:00:00"), ("3 hours ago", "2024-03-14 12:09:26"), ("Mar 01 10:20:30.000", "2024-03-01 10:20:30"),
+        ("15 april", "2023-04-15 00:00:00"), ("3 mar 2022", "2022-03-03 00:00:00"), ("2027", "2027-01-01 00:00:00"),
     ],
 )
 def test_time_arguments(text, expected):

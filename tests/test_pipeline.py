@@ -9,6 +9,9 @@ import pytest
 
 from quarrylog import queries
 from quarrylog.cli import main
+from quarrylog.operators import index
+from quarrylog.operators.records import records
+from quarrylog.settings import DEFAULTS
 from quarrylog.sources import text
 from quarrylog.streaming import follow
 
@@ -91,6 +94,25 @@ def test_output_file_and_stdin(spark, tmp_path):
     assert [r.raw for r in rows] == [M2, M1] and {r.input_name for r in rows} == {"-"}
 
 
+def test_index_is_kept_and_reused(spark, tmp_path):
+    log, kept = tmp_path / "a.log", tmp_path / "index"
+    line = lambda i, level: json.dumps({"ts": f"2031-03-02T{i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}Z", "level": level, "msg": "x" * 400}) + "\n"
+    first = "".join(line(i, "error" if i == 20 else "info") for i in range(5000))
+    log.write_text(first)
+    run = lambda *a: (out := io.StringIO()) and main([*FORMAT, *a, str(log)], spark, out) == 0 and out.getvalue().splitlines()
+    plain, indexed = run("-s", "-l", "error"), run("-s", "-l", "error", "--index", str(kept))
+    assert plain == indexed and len(plain) == 1
+    dump = [json.loads(x) for x in run("--dump-index", "--index", str(kept))]
+    assert [x["block_no"] for x in dump] == [0, 1, 2] and sum(x["entries_valid"] for x in dump) == 5000 and [x["flags"] & 8 for x in dump] == [8, 0, 0]
+    log.write_text(first + line(6000, "error"))
+    parsed = []
+    old = spark.read.parquet(sorted(str(x) for x in kept.glob("*/*"))[-1])
+    now = index.built(text.entries(spark, [str(log)]), lambda e: parsed.append(e) or records(e, DEFAULTS), old)
+    assert {r.block_no for r in index.in_blocks(parsed[0]).select("block_no").distinct().collect()} == {2}
+    assert [r.entries_valid for r in now.orderBy("block_no").collect()][:2] == [x["entries_valid"] for x in dump][:2]
+    assert len(run("-s", "-l", "error", "--index", str(kept))) == 2
+
+
 def test_missing_file(spark):
     with pytest.raises(FileNotFoundError):
         text.entries(spark, ["/nowhere/x.log"])
