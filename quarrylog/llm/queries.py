@@ -19,6 +19,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op10_jaccard_join": jaccard_join.SQL,
     "op2_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality.SQL,
     "quality_ablations": quality.ABLATIONS_SQL,
