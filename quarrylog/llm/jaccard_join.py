@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .arrow import map_texts, schema_of
-from .common import HOT_LEAST, documents, forget, lookup, saved
+from .common import HOT_LEAST, documents, forget, lookup, quoted, saved
 from .components import components
 
 WORDS = 5
@@ -538,7 +538,7 @@ def representatives(docs: DataFrame, texts: DataFrame | None = None) -> DataFram
     if texts is None:
         gone = gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     gone = saved(gone, "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op10_jaccard_join(spark, sf_dir):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Edge cases that every operator must bear, with columns whose names clash with those inside.
-EXTRA = "key string, token long, n int, block string, row_key string"
+EXTRA = "key string, token long, n int, block string, row_key string, n_lines int, lost string, added string, width int, measures int, `a.b` int"
 
 
 @pytest.fixture(scope="session")
@@ -24,8 +24,8 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark, texts):
-    rows = [(i, t, ["en", "fr", None][i % 3], "s", len(t or ""), "k", 1, 2, "b", "r") for i, t in enumerate(texts)]
-    rows += [rows[3], (None, texts[4], None, None, None, None, None, None, None, None)]
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", len(t or ""), "k", 1, 2, "b", "r", 3, "l", "a", 4, 5, 6) for i, t in enumerate(texts)]
+    rows += [rows[3], (None, texts[4], *[None] * 14)]
     return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}").repartition(3)
 
 
