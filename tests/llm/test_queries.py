@@ -1,6 +1,7 @@
 """The registered queries over a table with nulls, empties, repeated rows and clashing names, against brute force."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -49,6 +50,15 @@ def test_op1(spark, sf_dir):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.lang_pred in ("en", "fr", "und") and 0 <= r.score <= 1
 
 
+def test_op1_on_held_out_documents(spark):
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no sample tables")
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{at}/documents.parquet").where("lang is not null and text rlike '[a-z]{3}'").collect()}
+    held = [r for r in queries.QUERIES["op1_language_id"](spark, at).collect() if r.held_out and r.doc_id in langs]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.95 * len(held) > 0
+
+
 def test_numbers_are_no_letters():
     assert language_id.letter_runs("½ ② ² ௧ 12 _") == [] and language_id.letter_runs("Été½x日本") == ["été", "x日本"]
     scorer = language_id.Scorer(["x"], {"▁a": [0.5]})
