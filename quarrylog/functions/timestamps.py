@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Date, time, fraction and zone; the zone may lack its colon, and the separator may be a space.
 RFC3339 = r"^([+-]?\d{4,})-(\d{1,2})-(\d{1,2})[Tt ](\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d+))?\s*([Zz]|UTC|[+-]\d{2}:?\d{2})?\z"
+#: The same with fixed widths, as nearly all are; its parts are where they stand.
+FIXED = r"^(?!0000)\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:?\d{2})?\z"
 WHOLE, FRACTIONAL = r"^-?\d{1,19}\z", r"^-?\d{1,19}\.\d*\z"
 # The range of whole seconds that a calendar of four-digit years has; larger numbers are of finer units.
 MIN_SECONDS, MAX_SECONDS = -62135596800, 253402300799
@@ -58,6 +60,23 @@ def _calendar(part: Column) -> Column:
     return _let(F.struct(at.alias("at"), offset.alias("o"), nsec.alias("n")), lambda x: F.when(x["at"].isNotNull(), F.struct((x["at"] - x["o"] * 60).alias("sec"), x["n"].alias("nsec"), x["o"].alias("offset_min"))))
 
 
+def _fixed(raw: Column) -> Column:
+    """struct(sec, nsec, offset_min) of a text that FIXED matches; null if there is no such date or time."""
+    part = lambda at, n: F.substring(raw, at, n).cast("int")
+    size, sign = F.length(raw), lambda n: F.substring(raw, -n, 1).isin("+", "-") & (F.length(raw) >= 19 + n)
+    zone = F.when(sign(6), 6).when(sign(5), 5).when(F.substring(raw, -1, 1).isin("Z", "z"), 1).otherwise(0)
+    day, hour, minute, second = F.unix_date(F.substring(raw, 1, 10).try_cast("date")), part(12, 2), part(15, 2), part(18, 2)
+
+    def made(x: Column) -> Column:
+        away = F.substring(raw, -x["z"], 3).cast("int")  # hours with their sign
+        minutes = F.when(x["z"] < 5, 0).otherwise(away * 60 + F.when(F.substring(raw, -x["z"], 1) == "-", -part(-2, 2)).otherwise(part(-2, 2)))
+        nsec = F.rpad(F.when(F.substring(raw, 20, 1) == ".", F.substring(raw, F.lit(21), F.least(F.lit(9), size - 20 - x["z"]))).otherwise(""), 9, "0").cast("int")
+        clock = (hour < 24) & (minute < 60) & (second < 60)
+        return F.when(x["d"].isNotNull() & clock, F.struct((x["d"].cast("bigint") * 86400 + hour * 3600 + minute * 60 + second - minutes * 60).alias("sec"), nsec.alias("nsec"), minutes.alias("offset_min")))
+
+    return _let(F.struct(day.alias("d"), zone.alias("z")), made)
+
+
 def parsed(raw: Column, unit: str | None = None) -> Column:
     """struct(sec, nsec, offset_min) of a raw timestamp; null where it is none."""
     groups = F.split(F.regexp_replace(raw, RFC3339, "\x01".join(f"${i}" for i in range(1, 9))), "\x01", -1)
@@ -69,7 +88,8 @@ def parsed(raw: Column, unit: str | None = None) -> Column:
         return F.when(x["w"].isNotNull(), _let(at, lambda t: F.struct(t["sec"].alias("sec"), t["nsec"].alias("nsec"), F.lit(0).alias("offset_min"))))
 
     return (
-        F.when(raw.rlike(RFC3339), _let(groups, _calendar))
+        F.when(raw.rlike(FIXED), _fixed(raw))
+        .when(raw.rlike(RFC3339), _let(groups, _calendar))
         .when(raw.rlike(WHOLE) | raw.rlike(FRACTIONAL), _let(F.struct(whole.alias("w"), fraction.alias("f")), number))
     )
 

@@ -19,6 +19,7 @@ from quarrylog.render import json_quoted, quoted_value
         ("1597994448", (1597994448, 0)), ("1597994448123", (1597994448, 123000000)), ("1597994448123456", (1597994448, 123456000)),
         ("1597994448123456789", (1597994448, 123456789)), ("-1.123456789", (-2, 876543211)), ("2020-08-21T07:20:48Z", (1597994448, 0)),
         ("2020-08-21 09:20:48.5+0200", (1597994448, 500000000)), ("2020-08-21 07:20:48.25", (1597994448, 250000000)),
+        ("2020-08-21t09:50:48.1234567899-02:30", (1598012448, 123456789)), ("2020-8-21 7:20:48 UTC", (1597994448, 0)), ("2020-08-21 24:00:00", None), ("2020-02-30 10:00:00Z", None),
         ("17:00", None), ("2020-13-01T00:00:00Z", None), ("", None), ("abc", None),
     ],
 )
