@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
+import os
 import sys
 import time
 from datetime import datetime
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,7 +126,7 @@ def write_file(spark: SparkSession, shown: DataFrame, path: str, end: str) -> No
 
 
 def configured(o: argparse.Namespace) -> dict:
-    conf = configuration.load(*o.config)
+    conf = configuration.load(*configuration.layers(dict(os.environ), Path.home()), *o.config)
     over = {"time-format": o.time_format, "time-zone": o.time_zone}
     conf |= {k: v for k, v in over.items() if v}
     if o.flatten:

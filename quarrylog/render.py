@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.strftime import formatted
 from .operators.records import json_value
 from .operators.visibility import Visibility, is_empty
-from .settings import PUNCTUATION
+from .settings import PUNCTUATION, marks
 
 # Level labels, and the one for a level that isn't known.
 LABELS = {"error": "ERR", "warning": "WRN", "info": "INF", "debug": "DBG", "trace": "TRC"}
@@ -82,7 +82,7 @@ class Renderer:
         self.pretty = formatting["prettify-field-keys"]
         self.style = formatting["message"]["format"]
         self.expansion = formatting["expansion"]["mode"]
-        self.marks = {k: v[unicode] for k, v in PUNCTUATION.items()}
+        self.marks = marks(settings, unicode)
         self.show_level = settings["fields"]["predefined"]["level"].get("show", "auto") == "always"
         self.visibility, self.hide_empty, self.raw_fields = visibility or Visibility(), hide_empty, raw_fields
         self.predefined_nested = {n for kind, spec in settings["fields"]["predefined"].items() for n in ([x for v in spec["variants"] for x in v["names"]] if kind == "level" else spec["names"]) if "." in n}

@@ -41,7 +41,7 @@ DEFAULTS = {
     "ascii": "auto",
 }
 
-#: name -> (ASCII, Unicode)
+# The marks between the parts of a line, as (ASCII, Unicode).
 PUNCTUATION = {
     "logger-name-separator": (":", ":"), "field-key-value-separator": ("=", "="), "hidden-fields-indicator": ("...", "..."),
     "level-left-separator": ("[", "["), "level-right-separator": ("]", "]"), "array-separator": (" ", " "),
@@ -79,6 +79,24 @@ def load(*paths: str) -> dict:
     return out
 
 
+def layers(environ: dict[str, str], home: Path, system: Path = Path("/etc")) -> list[str]:
+    """Files that hold before ``--config``: the system's, the user's, then the one that QUARRYLOG_CONFIG names."""
+    user = Path(environ.get("XDG_CONFIG_HOME") or home / ".config")
+    out = []
+    for folder in (system, user):
+        found = (folder / "quarrylog" / f"config.{kind}" for kind in ("toml", "yaml", "yml", "json"))
+        out += [str(x) for x in found if x.is_file()][:1]
+    return out + ([environ["QUARRYLOG_CONFIG"]] if environ.get("QUARRYLOG_CONFIG") else [])
+
+
+def marks(settings: dict, unicode: bool) -> dict[str, str]:
+    """PUNCTUATION in one of its forms; ``formatting.punctuation`` replaces a mark, for both forms or each (ascii, unicode)."""
+    out = {k: v[unicode] for k, v in PUNCTUATION.items()}
+    for name, given in settings["formatting"].get("punctuation", {}).items():
+        out[name] = given if isinstance(given, str) else given.get("unicode" if unicode else "ascii", out.get(name, ""))
+    return out
+
+
 def level_words(variant: dict) -> dict[str, str]:
     """word -> level of a variant; words count as written, in lower, upper and title case."""
     out = {}

@@ -8,6 +8,7 @@ from quarrylog.functions import strftime, timestamps
 from quarrylog.functions.regexes import java_regex
 from quarrylog.functions.suggest import suggest
 from quarrylog.functions.timearg import parse_time
+from quarrylog import settings
 from quarrylog.levels import parse_level
 from quarrylog.operators.visibility import is_empty, rules
 from quarrylog.render import json_quoted, quoted_value
@@ -82,3 +83,16 @@ def test_quoting():
     assert [quoted_value(x) for x in ("a", "", "a b", 'a"b', "12", "true", "a=b", "it's \"x\"", "tab\there")] == ["a", '""', '"a b"', "'a\"b'", '"12"', '"true"', '"a=b"', "`it's \"x\"`", "`tab\there`"]
     assert json_quoted("a\x7f\n") == '"a\\u007f\\n"'
     assert is_empty("object", "{ }") and not is_empty("number", "0")
+
+
+def test_layers_and_marks(tmp_path):
+    (tmp_path / "etc/quarrylog").mkdir(parents=True)
+    (tmp_path / ".config/quarrylog").mkdir(parents=True)
+    (tmp_path / "etc/quarrylog/config.toml").write_text('time-zone = "Asia/Tokyo"\n[formatting.punctuation]\nfield-key-value-separator = ":"\n')
+    (tmp_path / ".config/quarrylog/config.json").write_text('{"formatting": {"punctuation": {"message-delimiter": {"ascii": "~"}}}}')
+    found = settings.layers({"QUARRYLOG_CONFIG": "own.toml"}, tmp_path, tmp_path / "etc")
+    assert [x.rsplit("/", 1)[-1] for x in found] == ["config.toml", "config.json", "own.toml"]
+    conf = settings.load(*found[:2])
+    marks = settings.marks(conf, False)
+    assert conf["time-zone"] == "Asia/Tokyo" and marks["field-key-value-separator"] == ":" and marks["message-delimiter"] == "~" and marks["array-separator"] == " "
+    assert settings.marks(conf, True)["message-delimiter"] == settings.PUNCTUATION["message-delimiter"][1]
