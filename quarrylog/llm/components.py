@@ -1,4 +1,12 @@
-"""Connected components of links that are never brought to the driver or to one task."""
+"""Connected components of links that are never brought to the driver or to one task.
+
+Joins on a node that a large part of all links have are ordinary shuffled joins
+followed by a shuffle on other keys, which Spark's skew handling may split.
+
+Defined results: links with a null end and of a node with itself count for
+nothing, repeated links and both directions once; nodes may be of any type with
+an order; no links give no rows; other columns are ignored, whatever their names.
+"""
 
 from __future__ import annotations
 

@@ -486,7 +486,7 @@ def joined(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
     by_class = saved(rows.where("cls is not null").groupBy("cls", "node").agg(F.min("doc_id").alias("first")), "class-members")
     often = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("n")).where(F.col("n") >= max(HOT_LEAST, by_class.count() // COMMON))
     # at most MAX_COMMON numbers, whatever the corpus
-    frequent = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token").collect()], np.int64).view(np.uint64))
+    frequent = np.sort(often.orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
     able = survivors(docs, frequent)
     mine = saved(by_class.join(able.hint("merge"), "node", "left_semi").select("first", "cls").where("first is not null"), "surviving-classes", able)
     texts = having(docs, mine).join(mine.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("cls", "text")
