@@ -67,14 +67,12 @@ def _fixed(raw: Column) -> Column:
     zone = F.when(sign(6), 6).when(sign(5), 5).when(F.substring(raw, -1, 1).isin("Z", "z"), 1).otherwise(0)
     day, hour, minute, second = F.unix_date(F.substring(raw, 1, 10).try_cast("date")), part(12, 2), part(15, 2), part(18, 2)
 
-    def made(x: Column) -> Column:
-        away = F.substring(raw, -x["z"], 3).cast("int")  # hours with their sign
-        minutes = F.when(x["z"] < 5, 0).otherwise(away * 60 + F.when(F.substring(raw, -x["z"], 1) == "-", -part(-2, 2)).otherwise(part(-2, 2)))
-        nsec = F.rpad(F.when(F.substring(raw, 20, 1) == ".", F.substring(raw, F.lit(21), F.least(F.lit(9), size - 20 - x["z"]))).otherwise(""), 9, "0").cast("int")
-        clock = (hour < 24) & (minute < 60) & (second < 60)
-        return F.when(x["d"].isNotNull() & clock, F.struct((x["d"].cast("bigint") * 86400 + hour * 3600 + minute * 60 + second - minutes * 60).alias("sec"), nsec.alias("nsec"), minutes.alias("offset_min")))
-
-    return _let(F.struct(day.alias("d"), zone.alias("z")), made)
+    away = F.substring(raw, -zone, 3).cast("int")  # hours with their sign
+    minutes = F.when(zone < 5, 0).otherwise(away * 60 + F.when(F.substring(raw, -zone, 1) == "-", -part(-2, 2)).otherwise(part(-2, 2)))
+    nsec = F.rpad(F.when(F.substring(raw, 20, 1) == ".", F.substring(raw, F.lit(21), F.least(F.lit(9), size - 20 - zone))).otherwise(""), 9, "0").cast("int")
+    clock = (hour < 24) & (minute < 60) & (second < 60)
+    sec = day.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second - minutes * 60
+    return F.when(day.isNotNull() & clock, F.struct(sec.alias("sec"), nsec.alias("nsec"), minutes.alias("offset_min")))
 
 
 def parsed(raw: Column, unit: str | None = None) -> Column:

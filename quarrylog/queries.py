@@ -250,7 +250,7 @@ SELECT event_id, us // 1000000 AS sec, CAST(us % 1000000 * 1000 AS INTEGER) AS n
 )
 _add(
     "timestamp_rfc3339",
-    lambda s, d: table(s, d, "events").select("event_id", timestamps.parsed(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+01:30"))).alias("t")).select("event_id", "t.sec", "t.nsec", "t.offset_min"),
+    lambda s, d: table(s, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+01:30")).alias("raw")).select("event_id", timestamps.parsed(F.col("raw")).alias("t")).select("event_id", "t.sec", "t.nsec", "t.offset_min"),
     "SELECT event_id, epoch_us(ts) // 1000000 - 5400 AS sec, CAST(epoch_us(ts) % 1000000 // 1000 * 1000000 AS INTEGER) AS nsec, 90 AS offset_min FROM events",
 )
 _add(
