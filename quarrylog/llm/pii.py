@@ -47,8 +47,8 @@ DIGIT = re.compile(r"[0-9]")
 #: Words on either side of an entity, within its line, that are its surroundings.
 WINDOW = 8
 SMOOTHING, MIN_RATIO, MIN_CHANCE = 0.5, 0.9, 0.5
-#: Terms are looked for through a bitmap of this many bits, whatever their number.
-BITS = 1 << 20
+#: Terms are looked for through a bitmap of this many bits, two for each term, whatever their number.
+BITS = 1 << 24
 EDGES = "\"'()[]{}<>.,;:!?…»«"
 
 
@@ -169,27 +169,28 @@ def scanned(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), f"{BASE}, seen array<struct<entity: string, terms: array<string>>>", make)
 
 
-def bit(term: str) -> int:
-    return xxh3_64_intdigest(term) % BITS
+def bits_of(term: str) -> tuple[int, int]:
+    h = xxh3_64_intdigest(term)
+    return h % BITS, (h >> 32) % BITS
 
 
 def bitmap(terms: DataFrame) -> np.ndarray | None:
-    """The terms' bits, at most BITS of them, in words of 64; None if there is no term."""
+    """The terms' bits as bytes; None if there is no term.  At most BITS / 64 words come to the driver."""
 
     def make():
-        return lambda part: [[bit(x) for x in part.column(0).to_pylist()]]
+        return lambda part: [[b for x in part.column(0).to_pylist() for b in bits_of(x)]]
 
     bits = map_texts(terms.select("term"), "b int", make, 0)
-    words = bits.groupBy(F.expr("cast(b div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("bits")).collect()
-    if not words:
+    words = bits.groupBy(F.expr("cast(b div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("bits")).toArrow()
+    if not words.num_rows:
         return None
     out = np.zeros(BITS // 64, np.int64)
-    out[[r.word for r in words]] = [r.bits for r in words]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 class Finder:
-    """Words of a text whose terms have their bit set."""
+    """Words of a text whose terms have their bits set."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.known = bits, {}
@@ -200,7 +201,7 @@ class Finder:
         except KeyError:
             pass
         term = term_of(word)
-        if term is not None and not self.bits[bit(term)]:
+        if term is not None and not all(self.bits[b >> 3] >> (b & 7) & 1 for b in bits_of(term)):
             term = None
         if len(self.known) > 400_000:
             self.known.clear()
@@ -210,7 +211,7 @@ class Finder:
 
 
 def document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """term and the number of documents that hold it; terms without their bit are left out, and a task sends a term once."""
+    """term and the number of documents that hold it; terms without their bits are left out, and a task sends a term once."""
     given = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make():
