@@ -43,4 +43,5 @@ def map_texts(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBat
             columns = function.rest()
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    # mapInArrow does not find columns whose names need quotes; the functions know them by place
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
