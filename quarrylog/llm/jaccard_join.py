@@ -382,18 +382,24 @@ def parted(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return lookup(rows, known, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("block").agg(F.sum(F.length("shingles") / 8).cast("long").alias("shingle_count"))
+def sized(rows: DataFrame, *more) -> DataFrame:
+    return rows.groupBy("block").agg(F.sum(F.length("shingles") / 8).cast("long").alias("shingle_count"), *more)
 
 
 def large_blocks(rows: DataFrame) -> DataFrame:
     """Links (a, b), as cls, that make the components of blocks (block, cls, shingles) with more than BLOCK shingles.
 
-    Each round measures all sets of a block against its pivots, in parts, and
-    deals them to regions.  Regions that fit a task are joined there; larger
-    ones are blocks of the next round, if they are smaller than the block was.
+    Parts are first joined each by itself.  Each round then measures all sets of
+    a block against its pivots, in parts, and deals them to regions.  Regions
+    that fit a task are joined there; larger ones are blocks of the next round,
+    as long as they get smaller or more of their sets come into one component.
     """
-    links, rows = [], saved(rows.withColumn("root", F.col("cls")), "large-blocks")
+    rows = saved(rows, "large-blocks")
+    sizes = saved(sized(rows, F.count(F.lit(1)).alias("left")), "block-sizes")
+    rows = saved(parted(rows, sizes), "large-blocks", rows)
+    links = [saved(small_blocks(rows.withColumn("block", F.xxhash64("block", "part"))).where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), "part-links")]
+    labels = components(links[0])
+    rows = saved(rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("block", "cls", "shingles", F.coalesce("root", "cls").alias("root"), "left"), "large-blocks", rows, labels)
     while not rows.isEmpty():
         sizes = saved(sized(rows), "block-sizes")
         rows = saved(parted(rows, sizes), "large-blocks", rows)
@@ -402,28 +408,50 @@ def large_blocks(rows: DataFrame) -> DataFrame:
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
-        labels = components(every).withColumnsRenamed({"node": "cls"})
-        known = rows.drop("root").join(measured.where("not is_pivot").select("block", "cls", "far"), ["block", "cls"]).join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        labels = components(every)
+        known = rows.drop("root").join(measured.where("not is_pivot").select("block", "cls", "far"), ["block", "cls"]).join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        # bit k: the region of pivot k; the last bit: the outer region
         inner = f"filter(sequence(0, size(far) - 1), k -> far[k] <= least({3 * EPSILON}, array_min(far) + {2 * EPSILON}) + 1e-9)"
-        outer = f"if(array_min(far) > {2 * EPSILON} + 1e-9, array(-1), array())"
-        dealt = known.withColumn("k", F.explode(F.expr(f"concat({inner}, {outer})")))
-        dealt = saved(dealt.select(F.xxhash64("block", "k").alias("block"), "cls", "shingles", "far", "root", "parts"), "regions", rows)
+        outer = f"if(array_min(far) > {2 * EPSILON} + 1e-9, {1 << 2 * PIVOTS}, 0)"
+        masked = saved(known.withColumn("mask", F.expr(f"aggregate({inner}, {outer}, (m, k) -> m | shiftleft(1, k))")), "masked", rows, labels)
+        dealt = lookup(masked, saved(merged(masked), "merged"), "block").withColumn("k", F.explode(F.expr("filter(merged, m -> (m & mask) <> 0)")))
+        dealt = saved(dealt.select(F.xxhash64("block", "k").alias("block"), "cls", "shingles", "far", "root", "parts", "left"), "regions", masked)
         now = saved(
-            dealt.groupBy("block", "root", "parts").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("shingles")).alias("bytes"))
-            .groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), (F.sum("bytes") / 8).cast("long").alias("shingle_count"), F.max("parts").alias("before")).where("most < all"),
+            dealt.groupBy("block", "root", "parts", "left").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("shingles")).alias("bytes"))
+            .groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), (F.sum("bytes") / 8).cast("long").alias("shingle_count"), F.max("parts").alias("before"), F.max("left").alias("left")).where("most < all"),
             "region-sizes",
         )
-        fits, smaller = F.col("shingle_count") <= BLOCK, F.ceil(F.col("shingle_count") / BLOCK) <= 0.75 * F.col("before")
+        fits, smaller = F.col("shingle_count") <= BLOCK, (F.ceil(F.col("shingle_count") / BLOCK) <= 0.75 * F.col("before")) | (F.col("all") - F.col("most") <= 0.75 * F.col("left"))
         inside = dealt.join(now.where(fits).select("block"), "block", "left_semi")
         links.append(saved(small_blocks(inside).where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), "region-links"))
-        links.append(saved(tiled(dealt.drop("parts"), now.where(~fits & ~smaller)), "tile-links"))
-        rows = saved(dealt.join(now.where(~fits & smaller).select("block"), "block", "left_semi").select("block", "cls", "shingles", "root"), "large-blocks")
+        links.append(saved(tiled(dealt.drop("parts", "left"), now.where(~fits & ~smaller)), "tile-links"))
+        rows = saved(dealt.drop("left").join(now.where(~fits & smaller).select("block", (F.col("all") - F.col("most")).alias("left")), "block").select("block", "cls", "shingles", "root", "left"), "large-blocks", dealt)
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
     return every
 
 
+def merged(masked: DataFrame) -> DataFrame:
+    """block and the regions ``merged`` of its rows (block, mask), each as the bits of the regions that are one: those that overlap so much that they cost no more together, as ``divided`` has it."""
+
+    def run(batches):
+        for batch in batches:
+            blocks, out = batch.column(0).to_pylist(), []
+            for own in batch.column(1).to_pylist():
+                masks, n = np.array([x["mask"] for x in own]), np.array([x["n"] for x in own], float)
+                cost = lambda m: n[masks & m != 0].sum() ** 2
+                parts = [1 << k for k in range(2 * PIVOTS + 1) if cost(1 << k)]
+                while pair := next(((a, b) for i, a in enumerate(parts) for b in parts[i + 1 :] if cost(a | b) <= cost(a) + cost(b)), None):
+                    parts = [m for m in parts if m not in pair] + [pair[0] | pair[1]]
+                whole = (1 << 2 * PIVOTS + 1) - 1
+                out.append(parts if sum(map(cost, parts)) <= cost(whole) else [whole])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["block", "merged"])
+
+    counts = masked.groupBy("block", "mask").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("block").agg(F.collect_list(F.struct("mask", "n")).alias("own")).mapInArrow(run, schema_of("block long, merged array<int>"))
+
+
 def measure(rows: DataFrame) -> DataFrame:
     """block, cls, is_pivot, distances ``far`` to the block's pivots and the pivots ``near`` enough to be linked with.
 

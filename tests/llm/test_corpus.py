@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quarrylog.llm import jaccard_join, language_id, line_dedup, neighbours, pii, quality
+from quarrylog.llm.components import components
 
 
 def test_quality(docs, nothing):
@@ -92,6 +93,30 @@ def linked(a, b):
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def test_large_block_is_joined_by_parts_and_not_copied_for_each_pivot(spark, monkeypatch):
+    rnd = random.Random(5)
+    base, rows, want = rnd.sample(range(1 << 60), 400), [], {}
+    for g in range(4):
+        # at distances of 0.4 to 0.5 from another group's sets, and linked in each
+        core = base[:300] + [(g + 1 << 60) + i for i in range(100)]
+        for i in range(60):
+            x = np.sort(np.array(core[:-2] + [(5 << 60) + 1000 * g + i], np.uint64))
+            rows.append((1, bytearray(jaccard_join.class_of(x)), bytearray(x.tobytes())))
+            want[bytes(rows[-1][1])] = g
+    tiled, copies = jaccard_join.tiled, []
+
+    def counted(known, regions):
+        copies.append((known.join(regions.select("block"), "block", "left_semi").count(), regions.select("block").count()))
+        return tiled(known, regions)
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10_000)
+    monkeypatch.setattr(jaccard_join, "tiled", counted)
+    links = jaccard_join.large_blocks(spark.createDataFrame(rows, "block long, cls binary, shingles binary"))
+    root = {bytes(r.node): bytes(r.root) for r in components(links).collect()}
+    assert len(root) == len(rows) and all((root[a] == root[b]) == (want[a] == want[b]) for a in want for b in want)
+    assert all(n <= len(rows) for n, _ in copies)
+
+
 def test_join_block_is_exact_and_divides():
     rnd, tally = random.Random(3), Counter()
     for kinds in (1, 4, 12):
