@@ -4,8 +4,9 @@ quality_rules rejects documents, line_dedup takes repeated lines out of texts an
 leaves out documents that lose all their words so, jaccard_join keeps the document
 with the smallest doc_id of each group of near copies among those left, pii masks
 personal data, and packing lays the tokens of what is left out in sequences.
-Near copies are compared by their texts in ``documents``: what line_dedup leaves of
-a copy no longer looks like one.  All but the last return the columns of
+Near copies are compared twice: by their texts in ``documents``, as what line_dedup
+leaves of a copy no longer looks like one, and then by what line_dedup left, as texts
+may be near copies but for the lines that it took.  All but the last return the columns of
 ``documents``, with ``n_chars`` counted anew where a text changes.
 
 Defined results: a null, empty or blank text is rejected by the first stage; rows
@@ -42,7 +43,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.representatives(docs, documents(spark, sf_dir).select("doc_id", "text"))
+    whole = saved(jaccard_join.representatives(docs, documents(spark, sf_dir).select("doc_id", "text")), "whole-text-copies")
+    # rows of the same doc_id stay or go together here too
+    return jaccard_join.representatives(whole, whole.select("doc_id", "text"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,18 @@ def test_one_of_each_group_of_copies_and_no_blank_document(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(range(6)) and all(r.length > 50 for r in pieces)
     places = sorted((r.sequence_id, r.offset, r.length) for r in pieces)
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:], strict=False)) and max(r.offset + r.length for r in pieces) <= packing.CAPACITY
+
+
+def test_near_copies_but_for_lines_that_line_dedup_takes(spark, tmp_path):
+    rnd = random.Random(12)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8))) for _ in range(n))
+    frames, body = [words(80) for _ in range(2)], words(120)
+    edited = body.split(" ")
+    edited[60] = "edited"
+    # 1 and 2 hold the lines first; 3 and 4 are near copies of each other without them only
+    rows = {1: f"{frames[0]}\n{words(90)}", 2: f"{frames[1]}\n{words(90)}", 3: f"{frames[0]}\n{body}", 4: f"{frames[1]}\n{' '.join(edited)}"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = saved(corpus_pipeline.line_stage(spark, docs, str(tmp_path)), "left")
+    assert {r.doc_id for r in left.collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.near_copy_stage(spark, left, str(tmp_path)).collect()} == {1, 2, 3}
