@@ -46,8 +46,10 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     padded[: len(codes)] = codes
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) <= codes[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    # only as many bytes of each value are looked at as the widest one has
+    width = int(codes.max(initial=0)) + 1
+    used = np.arange(width, dtype=np.uint8) <= codes[:, None]
+    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:

@@ -54,6 +54,21 @@ def test_memo_forgets_and_compares_bytes(monkeypatch):
         assert [x.tolist() for x in encoder.batch(pa.array(every))] == [ids_of(library, t) for t in every]
 
 
+def test_word_level_encodes_each_lower_case_piece_once():
+    encoder, library = library_tokens.word_level.__wrapped__(WORD), Tokenizer.from_file(WORD)
+    every = ["Word word. WORD,\nword: (word) word!! Été été.", "Word's 'tis WE'RE x'll ,'s 1's it's. ''word", "  \n word  \n\n", "", "a<|endoftext|>b <|Endoftext|>"]
+    assert [x.tolist() for x in encoder.batch(pa.array([*every, None]))] == [ids_of(library, t) for t in [*every, None]]
+    # a word takes one entry of the memo, in capitals, with stops or at a line's end
+    known = [encoder.memo.text[a:z].tobytes() for a, z in zip(encoder.memo.text_ends, encoder.memo.text_ends[1:], strict=False)]
+    assert [x for x in known if b"word" in x.lower()] in ([b"word", b"''word"], [b"''word", b"word"])
+    # letters beside stops, before marks and in capitals
+    rnd = random.Random(3)
+    around = ["", ".", "'", "'s", "1", "<", "a", "A", "\u0307", "\u030c", "\n", "\x1f", "\x85", "”"]
+    chars = [chr(c) for c in [*range(0x20, 0x500), 0x1E9E, 0x2019, 0x212A, 0x3042, 0xFF21]]
+    every = [f"{a}{c}{z}" for c in chars for a, z in [(".", "."), ("a", "."), ("'", "s"), *((rnd.choice(around), rnd.choice(around)) for _ in range(6))]]
+    assert [x.tolist() for x in encoder.batch(pa.array(every))] == [ids_of(library, t) for t in every]
+
+
 def test_decoder_streams_characters_as_they_become_whole():
     machine = byte_bpe.decoder(MULTI)
     machine.reset()
